@@ -25,8 +25,8 @@ from quire.llm.common import WORD_SPACE, cut, text_or_empty
 MIN_GROUP = 200
 #: Share of rows in the covariance subset, and the factor that makes the estimate consistent (5 dimensions, normal data).
 SUBSET, CONSISTENCY = 0.75, 1.41
-#: Least standard deviation of each transformed statistic: differences below it are not evidence.
-FLOOR = (0.5, 0.08, 0.35, 0.08, 0.08)
+#: Least standard deviation of each transformed statistic: differences below it are not evidence (one line in four said twice is none).
+FLOOR = (0.5, 0.08, 0.35, 0.15, 0.12)
 #: Squared distance above which a vector is rejected: beyond the 1 - 1e-9 quantile of chi-square with 5 degrees.
 LIMIT = 50.0
 C_STEPS = 5
