@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import table
+from quire.llm.packing import pack
 from quire.llm.quality_rules import quality_rules
+from quire.llm.sharding import shard_digest
+from quire.llm.warc import warc_digest
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_digest(table(spark, sf_dir, "pages"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +31,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sharding": op3_sharding,
+    "op4_warc": op4_warc,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
 }
 
