@@ -40,3 +40,11 @@ def text_or_empty(col: str = "text"):
 
 #: Characters that separate words: space and tab to carriage return (fixed values).
 WORD_SPACE = " \t\n\x0b\x0c\r"
+
+
+def release(df: DataFrame) -> None:
+    """Lets Spark drop the shuffle files of plans that are no longer used: it does so once their driver-side handles are collected."""
+    import gc
+
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()

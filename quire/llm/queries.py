@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import table
+from quire.llm.line_dedup import line_dedup
+from quire.llm.ngram_join import near_duplicates
 from quire.llm.packing import pack
 from quire.llm.quality_rules import quality_rules
 from quire.llm.sharding import shard_digest
 from quire.llm.warc import warc_digest
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"), shards=40)
 
@@ -21,6 +27,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_digest(table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -31,8 +41,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
 }
