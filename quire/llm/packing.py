@@ -54,7 +54,7 @@ def best_fit(sizes: np.ndarray, source: np.ndarray, no_source: np.ndarray, clust
         at, found = int(np.searchsorted(room[:open_], size << 32)), -1
         step = 64
         while at < open_ and found < 0:
-            ids = room[at : at + step] & 0xFFFFFFFF
+            ids = room[at : min(at + step, open_)] & 0xFFFFFFFF
             free = ((used_s[ids, ws] & ms) | (used_c[ids, wc] & mc)) == 0
             first = int(free.argmax())
             if free[first]:
