@@ -13,9 +13,11 @@ A set whose prefix is still common (a text that is mostly a passage of many othe
 slack = o: then only the shingles outside the rarest n - o + q are left out. Links between two such sets are found at
 this second level, all others at the first, by the side that is not such a set.
 
-Candidates: neighbours in each posting list, ordered by size, are verified first and linked groups merged. Then every
-pair of the posting lists whose sides are in different groups, and whose sizes allow a link, is counted, kept with q
-shared prefix shingles or more, and verified on the whole sets. So no link between different groups is lost, and a
+Prefixes follow one order of shingles, by number of classes and then hash, so that those of both sides must meet.
+Candidates: of each set, its nearest neighbour by size in the posting lists and the most typical set of its lists are
+verified first and linked groups merged. Then every pair of the posting lists whose sides are in different groups, and
+whose sizes and numbers of shingles of their own allow a link, is counted, kept with the lesser q of shared prefix
+shingles or more and room for enough overlap after the last of them, and verified on the whole sets. So no link between different groups is lost, and a
 large group of near copies costs a few candidates a member, not all its pairs. Nothing is capped or sampled.
 
 Defined cases: null text, and text without words, has an empty set, linked with nothing; repeated rows are copies; an
@@ -43,7 +45,7 @@ VERIFY = 20
 #: Longest prefix extension: shared shingles asked for.
 MOST = 6
 #: Mean number of other classes that hold a prefix's shingles, over which a set goes to the second level.
-COMMON = 24
+COMMON = 12
 #: Bits of the filter through which the second and third pass over the texts pick sets: at most 8 MB, of any input.
 FILTER_BITS = 1 << 23
 
@@ -128,25 +130,27 @@ def shared_tokens(posts: DataFrame) -> DataFrame:
     return counted.groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t"))
 
 
-def probes(shared: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
-    """Adds q and `prefix`, the tokens by which a set looks for partners, and `mean`, how common they are."""
+def prefixes(shared: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
+    """sig, n, w (size of the window), u (shingles that it has alone), q, prefix, mean and typical (how common the
+    prefix's and all of the window's shingles are). Sets whose prefix is theirs alone are left out: they have no partner."""
     d = shared.join(classes, "sig")
     if whole:
-        d = d.withColumn("s", F.expr(f"({PERCENT} * n + 99) div 100"))
-        d = d.withColumn("base", F.expr("size(t) - s"))
+        d = d.withColumn("w", F.col("n")).withColumn("s", F.expr(f"({PERCENT} * n + 99) div 100"))
     else:
+        d = d.withColumn("w", F.expr(f"n - ({PERCENT} * n + 99) div 100 + greatest(1, cast(ceil(n * {SLACK}D) as bigint))"))
         d = d.withColumn("s", F.expr(f"greatest(1L, cast(ceil({SLACK} * {PERCENT} / 100 * n - 1e-9) as bigint))"))
-        d = d.withColumn("base", F.expr("size(t) - s"))
-    d = d.where("base + 1 > 0")
+    d = d.withColumn("base", F.expr("size(t) - s")).where("base + 1 > 0")
     cost = "array({})".format(", ".join(f"if({q} > s or base + {q} > size(t), 1e300, aggregate(slice(t, 1, cast(base + {q} as int)), 0D, (a, x) -> a + x.df - 1) * (1 + {VERIFY} / {q}D))" for q in range(1, MOST + 1)))
     d = d.withColumn("c", F.expr(cost))
     d = d.withColumn("q", F.expr("array_position(c, array_min(c))").cast("int"))
-    d = d.withColumn("prefix", F.expr("transform(slice(t, 1, cast(base + q as int)), x -> x.token)"))
-    return d.withColumn("mean", F.expr(f"c[0] / (1 + {VERIFY}) / greatest(base + 1, 1)"))
+    return d.select(
+        "sig", "n", "w", F.expr("w - size(t)").alias("u"), "q", F.expr("transform(slice(t, 1, cast(base + q as int)), x -> x.token)").alias("prefix"),
+        F.expr(f"c[0] / (1 + {VERIFY}) / (base + 1)").alias("mean"), F.expr("aggregate(t, 0D, (a, x) -> a + x.df) / w").alias("typical"),
+    )
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -158,48 +162,55 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(p) + len(q) - both) and both > 0)
             yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    sides = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "ngram-sides")
+    sets = cut(whole_sets(docs, filter_of(sides)).join(sides, "sig", "left_semi"), "ngram-sets")
     left, right = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("p")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("q"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(check, "a long, b long")
 
 
 def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """node, component over classes: links between sets that differ."""
-    first = cut(shared_tokens(postings(docs)), "ngram-shared")
+    first = cut(prefixes(shared_tokens(postings(docs)), classes, False), "ngram-prefixes")
     release(docs)
-    look = cut(probes(first, classes, False).select("sig", "n", "q", "prefix", "mean"), "ngram-probes")
-    common = cut(look.where(F.col("mean") > COMMON).select("sig"), "ngram-common")
+    common = cut(first.where(F.col("mean") > COMMON).select("sig"), "ngram-common")
     mask = filter_of(common)
-    second = cut(shared_tokens(postings(docs, mask).join(common, "sig", "left_semi") if mask.any() else postings(docs.limit(0), mask)), "ngram-shared-whole")
+    posts = postings(docs, mask).join(common, "sig", "left_semi") if mask.any() else postings(docs.limit(0), mask)
+    second = cut(prefixes(shared_tokens(posts), classes, True), "ngram-prefixes-whole")
     release(docs)
-    look2 = cut(probes(second, classes, True).select("sig", "n", "q", "prefix"), "ngram-probes-whole")
-    asks = look.where(F.col("mean") <= COMMON).select(F.lit(1).alias("level"), "sig", "n", "q", F.explode("prefix").alias("token"))
-    asks = cut(asks.union(look2.select(F.lit(2).alias("level"), "sig", "n", "q", F.explode("prefix").alias("token"))), "ngram-asks")
-    lists = lambda d, k: d.join(classes, "sig").select(F.lit(k).alias("level"), "sig", "n", F.explode("t.token").alias("token"))
-    wanted = asks.select("level", "token").distinct()
-    lists = cut(lists(first, 1).union(lists(second, 2)).join(wanted, ["level", "token"], "left_semi"), "ngram-lists")
+    row = ["sig", "n", "w", "u", "q", "typical", F.posexplode("prefix").alias("at", "token")]
+    asks = first.select(F.lit(1).alias("level"), (F.col("mean") <= COMMON).alias("active"), *row).union(second.select(F.lit(2).alias("level"), F.lit(True).alias("active"), *row))
+    asks = cut(asks.withColumn("at", F.col("u") + F.col("at") + 1), "ngram-asks")
     fits = lambda a, b: (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
 
-    # Neighbours in the posting lists; of those of a set, the one with which it shares most lists.
-    w = Window.partitionBy("level", "token").orderBy("n", "sig")
-    near = lists.withColumn("a", F.lag("sig").over(w)).withColumn("na", F.lag("n").over(w)).where(F.col("a").isNotNull() & fits(F.col("n"), F.col("na")))
-    near = near.groupBy(F.col("sig").alias("b"), "a").agg(F.count("*").alias("c"))
-    near = near.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    near = cut(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-near")
-    sets = cut(whole_sets(docs, filter_of(near.select(F.explode(F.array("a", "b")).alias("sig")))), "ngram-sets")
-    links = cut(verified(near, sets), "ngram-links-near")
-    merged = components(links)
-
-    # All pairs of the lists between sets that are not yet in one group.
-    group = merged.toDF("sig", "g")
-    tag = lambda d: d.join(group, "sig", "left").withColumn("g", F.coalesce("g", "sig"))
-    a = tag(asks).select("level", "token", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"), "q")
-    b = tag(lists).select("level", "token", F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("g").alias("gy"))
-    pairs = a.join(b, ["level", "token"]).where((F.col("gx") != F.col("gy")) & fits(F.col("nx"), F.col("ny")))
-    pairs = pairs.groupBy("level", "x", "y").agg(F.count("*").alias("c"), F.max("q").alias("q")).where("c >= q")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # Of a set's neighbours in the posting lists, by size, that with which it shares most lists; and the same of the
+    # sets that are most typical of a list, as the text that others were copied from.
+    w = Window.partitionBy("level", "token")
+    near = asks.withColumn("a", F.lag(F.struct("sig", "n")).over(w.orderBy("n", "sig"))).withColumn("b", F.max(F.struct("typical", "sig", "n")).over(w))
+    near = near.select("sig", "n", F.posexplode(F.array("a", F.struct("b.sig", "b.n"))).alias("kind", "o"))
+    near = near.where((F.col("o.sig") != F.col("sig")) & fits(F.col("n"), F.col("o.n"))).groupBy("sig", "kind", F.col("o.sig").alias("other")).agg(F.count("*").alias("c"))
+    near = near.groupBy("sig", "kind").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
+    near = cut(near.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct(), "ngram-near")
+    links = cut(verified(near, docs), "ngram-links-near")
+    release(docs)
+
+    # All pairs of the lists between sets that are not yet in one group and may still overlap enough.
+    group = components(links).toDF("sig", "g")
+    tagged = cut(asks.join(group, "sig", "left").withColumn("g", F.coalesce("g", "sig")), "ngram-asks-grouped")
+    side = lambda d, k: d.select("level", "token", *[F.col(c).alias(c + k) for c in ("sig", "n", "w", "u", "q", "at", "g")])
+    x, y = side(tagged.where("active"), "x"), side(tagged, "y")
+    both = x.join(y, ["level", "token"]).where(
+        (F.col("gx") != F.col("gy")) & fits(F.col("nx"), F.col("ny"))
+        & (F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy")) * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny")))
+    )
+    pairs = both.groupBy("level", "sigx", "sigy").agg(
+        F.count("*").alias("c"), F.least(F.max("qx"), F.max("qy")).alias("q"), F.max("nx").alias("nx"), F.max("ny").alias("ny"),
+        F.least(F.max("wx") - F.max("atx"), F.max("wy") - F.max("aty")).alias("after"), F.greatest(F.max("nx") - F.max("wx"), F.max("ny") - F.max("wy")).alias("outside"),
+    )
+    pairs = pairs.where((F.col("c") >= F.col("q")) & ((F.col("c") + F.col("after") + F.col("outside")) * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny"))))
+    pairs = pairs.select(F.least("sigx", "sigy").alias("a"), F.greatest("sigx", "sigy").alias("b")).distinct()
     pairs = cut(pairs.join(near, ["a", "b"], "left_anti"), "ngram-pairs")
-    sets = cut(whole_sets(docs, filter_of(pairs.select(F.explode(F.array("a", "b")).alias("sig")))), "ngram-sets-rest")
-    return components(links.union(cut(verified(pairs, sets), "ngram-links-rest")))
+    release(docs)
+    return components(links.union(cut(verified(pairs, docs), "ngram-links-rest")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
