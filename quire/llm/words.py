@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text is handled whole.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 U = np.uint64
 
 
