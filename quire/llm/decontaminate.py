@@ -9,7 +9,8 @@ are candidates. A candidate must hold OVERLAP of the item by TF-IDF mass; then t
 item's words and the words around the window must cover LCS_SHARE of the item, and that of the item's answer, its last
 ANSWER_WORDS words, ANSWER_SHARE of it. Items under SHORT_WORDS words must be covered whole.
 
-Words are runs of characters other than space and tab to carriage return, A-Z as a-z, without marks at either end.
+Words are runs of characters other than space and tab to carriage return, without marks at either end; A-Z and U+00C0 to
+U+00DE count as lower case.
 Items are broadcast in blocks of ITEM_BLOCK, a pass over the documents each. The sums that reach the driver have
 FEATURES * RANK entries, of any input.
 
@@ -34,7 +35,7 @@ from quire.llm.common import cut
 
 FEATURES, RANK = 1 << 14, 64
 BLOCK, MAX_DF = 64, 0.03
-SIZES = (20, 32, 48, 64)
+SIZES = (20, 26, 32, 40, 52, 64)
 COSINE, OVERLAP = 0.45, 0.45
 LCS_SHARE, ANSWER_SHARE, ANSWER_WORDS, SHORT_WORDS = 0.6, 0.5, 6, 8
 ITEM_BLOCK = 4096
@@ -55,6 +56,8 @@ class Text:
 
     def __init__(self, col: pa.Array, t: dict[str, np.ndarray]):
         w = words.Words(col, t)
+        accented = np.flatnonzero((w.data[:-1] == 0xC3) & (w.data[1:] >= 0x80) & (w.data[1:] <= 0x9E) & (w.data[1:] != 0x97)) + 1
+        w.data[accented] += 32
         for _ in range(3):  # marks at the ends, where something is left
             if not len(w.start):
                 break
