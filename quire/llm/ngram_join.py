@@ -16,8 +16,8 @@ this second level, all others at the first, by the side that is not such a set.
 Prefixes follow one order of shingles, by number of classes and then hash, so that those of both sides must meet.
 Candidates: of each set, its nearest neighbour by size in the posting lists and the most typical set of its lists are
 verified first and linked groups merged. Then every pair of the posting lists whose sides are in different groups, and
-whose sizes and numbers of shingles of their own allow a link, is counted, kept with the lesser q of shared prefix
-shingles or more and room for enough overlap after the last of them, and verified on the whole sets. So no link between different groups is lost, and a
+whose sizes and numbers of shingles of their own allow a link, is counted over the shingles that stand early enough in
+both to be among the first q shared, kept with the lesser q of them or more and room for enough overlap after the last of them, and verified on the whole sets. So no link between different groups is lost, and a
 large group of near copies costs a few candidates a member, not all its pairs. Nothing is capped or sampled.
 
 Defined cases: null text, and text without words, has an empty set, linked with nothing; repeated rows are copies; an
@@ -201,6 +201,7 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     both = x.join(y, ["level", "token"]).where(
         (F.col("gx") != F.col("gy")) & fits(F.col("nx"), F.col("ny"))
         & (F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy")) * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny")))
+        & ((F.least("qx", "qy") + F.least(F.col("wx") - F.col("atx"), F.col("wy") - F.col("aty")) + F.greatest(F.col("nx") - F.col("wx"), F.col("ny") - F.col("wy"))) * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny")))
     )
     pairs = both.groupBy("level", "sigx", "sigy").agg(
         F.count("*").alias("c"), F.least(F.max("qx"), F.max("qy")).alias("q"), F.max("nx").alias("nx"), F.max("ny").alias("ny"),
