@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import table
 from quire.llm.decontaminate import contaminated
+from quire.llm.language_id import language_id
 from quire.llm.line_dedup import line_dedup
 from quire.llm.ngram_join import near_duplicates
 from quire.llm.packing import pack
@@ -21,6 +22,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"), shards=40)
 
@@ -52,6 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
