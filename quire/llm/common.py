@@ -27,7 +27,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quire_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.quire_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keep_rows(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text hash (xxhash64 of text) stand in verdict (doc_id, th); nulls match nulls."""
+    v = verdict.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).distinct()
+    keyed = docs.withColumn("_th", F.xxhash64("text"))
+    return keyed.join(v, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_semi").drop("_th")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

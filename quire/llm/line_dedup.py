@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import words
-from quire.llm.common import cut, release
+from quire.llm.common import cut, discard, release
 
 LEAST_WORDS, NEAR_WORDS = 5, 10
 #: Bits of the filter through which later passes over the texts pick lines: 4 MB, of any input.
@@ -210,7 +210,9 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield x.select([0]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(text, "key").join(text.toDF("other", "other_line"), "other").select("key", "line", "other_line")
-    return cut(both.mapInArrow(check, "key long").distinct(), "lines-near")
+    out = cut(both.mapInArrow(check, "key long").distinct(), "lines-near")
+    discard(rows, pairs, text)
+    return out
 
 
 def words_of(line: str) -> list[str]:
@@ -227,17 +229,26 @@ def lines_to_drop(docs: DataFrame) -> DataFrame:
     near = near_classes(docs, classes).withColumn("near", F.lit(True))
     verdict = classes.join(near, "key", "left").where("near or c > 1").select("key", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.drop("halves", "n").join(verdict, "key").where(F.col("near") | ~F.col("first").eqNullSafe(F.struct("doc_id", "th", "number")))
-    return gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("number")).alias("gone"))
+    out = cut(gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("number")).alias("gone")), "lines-gone")
+    discard(lines, classes)
+    return out
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with their text less the lines that go, and n_lines and n_dropped (0 for null text)."""
-    docs = docs.drop("th", "n_lines", "n_dropped", "gone", "_lines")
+    docs = docs.drop("th", "n_lines", "n_dropped", "gone", "_lines", "_d", "_h")
     keyed = docs.withColumn("th", F.xxhash64("text"))
-    gone = cut(lines_to_drop(keyed.select("doc_id", "th", F.col("text").cast("string").alias("text"))), "lines-gone")
+    gone = lines_to_drop(keyed.select("doc_id", "th", F.col("text").cast("string").alias("text")))
     release(docs)
     g = gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "gone")
     out = keyed.join(g, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")), "left").withColumn("_lines", F.split("text", "\n", -1))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), gone), i -> get(_lines, i)), '\n')")
     columns = [F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else c for c in docs.columns]
     return out.select(*columns, F.coalesce(F.greatest(F.size("_lines"), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.greatest(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs with their text less the lines that go, and n_chars to match; a document that loses lines and has no word left goes."""
+    out = line_dedup(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    columns = [F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars") if c == "n_chars" else c for c in docs.columns]
+    return out.select(*columns)

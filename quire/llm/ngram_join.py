@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import words
-from quire.llm.common import cut, release
+from quire.llm.common import cut, discard, release
 from quire.llm.components import components
 
 PERCENT = 75
@@ -165,7 +165,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sides = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "ngram-sides")
     sets = cut(whole_sets(docs, filter_of(sides)).join(sides, "sig", "left_semi"), "ngram-sets")
     left, right = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("p")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("q"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(check, "a long, b long")
+    out = cut(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(check, "a long, b long"), "ngram-links")
+    discard(sides, sets)
+    return out
 
 
 def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     near = near.where((F.col("o.sig") != F.col("sig")) & fits(F.col("n"), F.col("o.n"))).groupBy("sig", "kind", F.col("o.sig").alias("other")).agg(F.count("*").alias("c"))
     near = near.groupBy("sig", "kind").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
     near = cut(near.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct(), "ngram-near")
-    links = cut(verified(near, docs), "ngram-links-near")
+    links = verified(near, docs)
     release(docs)
 
     # All pairs of the lists between sets that are not yet in one group and may still overlap enough.
@@ -211,7 +213,9 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = pairs.select(F.least("sigx", "sigy").alias("a"), F.greatest("sigx", "sigy").alias("b")).distinct()
     pairs = cut(pairs.join(near, ["a", "b"], "left_anti"), "ngram-pairs")
     release(docs)
-    return components(links.union(cut(verified(pairs, docs), "ngram-links-rest")))
+    out = components(links.union(verified(pairs, docs)))
+    discard(first, second, asks, tagged, near, pairs)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -225,3 +229,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     by_class = cut(rooted.join(least, "root").select("sig", "component_id"), "ngram-components")
     out = sigs.join(by_class, "sig", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each group of linked documents that with the least doc_id; of rows that repeat it and its text, one."""
+    found = near_duplicates(docs)
+    first = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "ngram-first").withColumnRenamed("doc_id", "_d")
+    keyed = docs.withColumn("_th", F.xxhash64("text"))
+    return keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").dropDuplicates(["doc_id", "_th"]).select(docs.columns)

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD_SPACE, cut, text_or_empty
+from quire.llm.common import WORD_SPACE, cut, keep_rows, text_or_empty
 
 #: Rows that a group needs for an estimate of its own.
 MIN_GROUP = 200
@@ -188,3 +188,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the statistics, base_failed, distance2 and kept of every document."""
     stats = cut(statistics(docs, "doc_id", "lang", "source"), "quality-stats")
     return judged(stats)
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep, unchanged; rows are told apart by doc_id and text."""
+    own = docs.select("doc_id", "lang", "source", "text", F.xxhash64("text").alias("th"))
+    verdict = judged(cut(statistics(own, "doc_id", "th", "lang", "source"), "quality-stats"))
+    return keep_rows(docs, cut(verdict.where("kept").select("doc_id", "th"), "quality-kept"))
