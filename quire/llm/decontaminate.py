@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from quire.llm import words
 from quire.llm.common import cut
 
-FEATURES, RANK = 1 << 14, 64
+FEATURES, RANK = 1 << 14, 48
 BLOCK, MAX_DF = 64, 0.03
-SIZES = (20, 26, 32, 40, 52, 64)
-COSINE, OVERLAP = 0.45, 0.45
+SIZES = (20, 27, 36, 48, 64)
+COSINE, OVERLAP = 0.5, 0.45
 LCS_SHARE, ANSWER_SHARE, ANSWER_WORDS, SHORT_WORDS = 0.6, 0.5, 6, 8
 ITEM_BLOCK = 4096
 U = np.uint64
@@ -66,7 +66,7 @@ class Text:
         if len(w.start):
             edge = np.zeros(len(w.data) + 1, dtype=np.int8)
             edge[w.start] += 1
-            np.add.at(edge, w.end, -1)
+            edge[w.end] -= 1
             w.inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
         self.h = w.hashes(t)
         self.f = ((self.h >> U(40)) & U(FEATURES - 1)).astype(np.int64)
@@ -235,15 +235,16 @@ class Items:
             end = np.minimum(start + size, x.first[row + 1])
             z = sums[upto[end]] - sums[upto[start]]
             norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)
-            cosine = (z @ y.T) / norm[:, None]
-            win, col = np.nonzero(cosine >= COSINE)
+            near = z @ y.T
+            hits = np.flatnonzero(near >= (COSINE * norm)[:, None])
+            win, col = hits // len(y), hits % len(y)
             for lo in range(0, len(win), 8192):
                 w, c = win[lo : lo + 8192], col[lo : lo + 8192]
                 span = start[w][:, None] + np.arange(size)
                 inside = span < end[w][:, None]
                 got = (mass[c[:, None], padded[span]] * inside).sum(axis=1)
                 for i in np.flatnonzero(got >= least[c]):
-                    self._check(x, int(row[w[i]]), int(item[c[i]]), int(start[w[i]]), int(end[w[i]]), float(cosine[w[i], c[i]]), out)
+                    self._check(x, int(row[w[i]]), int(item[c[i]]), int(start[w[i]]), int(end[w[i]]), float(near[w[i], c[i]] / norm[w[i]]), out)
         return out
 
     def _check(self, x: Text, row: int, item: int, start: int, end: int, cosine: float, out: dict) -> None:
