@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
+from quire.plans import grouped_queries, sql_queries
+from quire.plans.dialect import duck_sql, spark_query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return {name: spark_query(sql) for name, sql in sql_queries.QUERIES.items()} | grouped_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    return {name: duck_sql(sql) for name, sql in sql_queries.QUERIES.items()} | {name: duck_sql(sql) for name, sql in grouped_queries.ORACLES.items()}
