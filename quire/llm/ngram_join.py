@@ -10,13 +10,14 @@ shingles, and must then share one of the others with any partner; leaving out s
 become fewer as q grows) falls. Shingles that one class alone has make up most prefixes and cost nothing.
 
 A set whose prefix is still common (a text that is mostly a passage of many others) takes its whole set as its window,
-slack = o: then only the shingles outside the rarest n - o + q are left out. Links between two such sets are found at
-this second level, all others at the first, by the side that is not such a set.
+slack = o: then only the shingles outside the rarest n - o + 1 are left out. Links between two such sets are found at
+this second level, all others at the first, by the side that is not such a set. For them q is 1: the shingles of a
+passage come together, so that asking for more of them would not thin out the candidates.
 
 Prefixes follow one order of shingles, by number of classes and then hash, so that those of both sides must meet.
 Candidates: of each set, its nearest neighbour by size in the posting lists and the most typical set of its lists are
 verified first and linked groups merged. Then every pair of the posting lists whose sides are in different groups, and
-whose sizes and numbers of shingles of their own allow a link, is counted over the shingles that stand early enough in
+whose sizes, numbers of shingles of their own and parity bitmaps (second level) allow a link, is counted over the shingles that stand early enough in
 both to be among the first q shared, kept with the lesser q of them or more and room for enough overlap after the last of them, and verified on the whole sets. So no link between different groups is lost, and a
 large group of near copies costs a few candidates a member, not all its pairs. Nothing is capped or sampled.
 
@@ -46,6 +47,8 @@ VERIFY = 20
 MOST = 6
 #: Mean number of other classes that hold a prefix's shingles, over which a set goes to the second level.
 COMMON = 12
+#: 64-bit words of the parity bitmap of a set at the second level.
+CELLS = 8
 #: Bits of the filter through which the second and third pass over the texts pick sets: at most 8 MB, of any input.
 FILTER_BITS = 1 << 23
 
@@ -142,10 +145,18 @@ def prefixes(shared: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
     d = d.withColumn("base", F.expr("size(t) - s")).where("base + 1 > 0")
     cost = "array({})".format(", ".join(f"if({q} > s or base + {q} > size(t), 1e300, aggregate(slice(t, 1, cast(base + {q} as int)), 0D, (a, x) -> a + x.df - 1) * (1 + {VERIFY} / {q}D))" for q in range(1, MOST + 1)))
     d = d.withColumn("c", F.expr(cost))
-    d = d.withColumn("q", F.expr("array_position(c, array_min(c))").cast("int"))
+    d = d.withColumn("mean", F.expr(f"c[0] / (1 + {VERIFY}) / (base + 1)"))
+    # The parity of each of 512 cells that its shared shingles fall in: cells in which two sets differ are shingles that they do not share.
+    bits = [
+        F.expr(f"aggregate(t, 0L, (a, x) -> if(pmod(x.token, {CELLS}L) = {i}, a ^ shiftleft(1L, cast(shiftright(x.token, 6) & 63 as int)), a))") if whole else F.lit(0).cast("long")
+        for i in range(CELLS)
+    ]
+    d = d.withColumns({f"b{i}": b for i, b in enumerate(bits)})
+    fixed = F.lit(whole) | (F.col("mean") > COMMON)
+    d = d.withColumn("q", F.when(fixed, 1).otherwise(F.expr("array_position(c, array_min(c))")).cast("int"))
     return d.select(
         "sig", "n", "w", F.expr("w - size(t)").alias("u"), "q", F.expr("transform(slice(t, 1, cast(base + q as int)), x -> x.token)").alias("prefix"),
-        F.expr(f"c[0] / (1 + {VERIFY}) / (base + 1)").alias("mean"), F.expr("aggregate(t, 0D, (a, x) -> a + x.df) / w").alias("typical"),
+        "mean", F.expr("aggregate(t, 0D, (a, x) -> a + x.df) / w").alias("typical"), *[f"b{i}" for i in range(CELLS)],
     )
 
 
@@ -179,7 +190,8 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     posts = postings(docs, mask).join(common, "sig", "left_semi") if mask.any() else postings(docs.limit(0), mask)
     second = cut(prefixes(shared_tokens(posts), classes, True), "ngram-prefixes-whole")
     release(docs)
-    row = ["sig", "n", "w", "u", "q", "typical", F.posexplode("prefix").alias("at", "token")]
+    bitmap = [f"b{i}" for i in range(CELLS)]
+    row = ["sig", "n", "w", "u", "q", "typical", *bitmap, F.posexplode("prefix").alias("at", "token")]
     asks = first.select(F.lit(1).alias("level"), (F.col("mean") <= COMMON).alias("active"), *row).union(second.select(F.lit(2).alias("level"), F.lit(True).alias("active"), *row))
     asks = cut(asks.withColumn("at", F.col("u") + F.col("at") + 1), "ngram-asks")
     fits = lambda a, b: (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
@@ -198,12 +210,14 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # All pairs of the lists between sets that are not yet in one group and may still overlap enough.
     group = components(links).toDF("sig", "g")
     tagged = cut(asks.join(group, "sig", "left").withColumn("g", F.coalesce("g", "sig")), "ngram-asks-grouped")
-    side = lambda d, k: d.select("level", "token", *[F.col(c).alias(c + k) for c in ("sig", "n", "w", "u", "q", "at", "g")])
+    side = lambda d, k: d.select("level", "token", *[F.col(c).alias(c + k) for c in ("sig", "n", "w", "u", "q", "at", "g", *bitmap)])
     x, y = side(tagged.where("active"), "x"), side(tagged, "y")
+    apart = F.col("ux") + F.col("uy") + sum((F.bit_count(F.col(b + "x").bitwiseXOR(F.col(b + "y"))) for b in bitmap), F.lit(0))
     both = x.join(y, ["level", "token"]).where(
         (F.col("gx") != F.col("gy")) & fits(F.col("nx"), F.col("ny"))
         & (F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy")) * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny")))
         & ((F.least("qx", "qy") + F.least(F.col("wx") - F.col("atx"), F.col("wy") - F.col("aty")) + F.greatest(F.col("nx") - F.col("wx"), F.col("ny") - F.col("wy"))) * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny")))
+        & ((F.col("nx") + F.col("ny") - apart) * (100 + PERCENT) >= 2 * PERCENT * (F.col("nx") + F.col("ny")))
     )
     pairs = both.groupBy("level", "sigx", "sigy").agg(
         F.count("*").alias("c"), F.least(F.max("qx"), F.max("qy")).alias("q"), F.max("nx").alias("nx"), F.max("ny").alias("ny"),
