@@ -4,7 +4,7 @@ Passages of BLOCK words, over all documents, give TF-IDF vectors over FEATURES h
 the passages count as stop words). A randomised SVD of that matrix A is computed in one distributed pass: with a Gaussian
 test matrix W, tasks sum A'(A W), and the Nystrom form of A'A gives the right singular vectors V and values s. Texts are
 projected on V/s, so that no common topic rules the cosine. Every benchmark item is then sought in sliding windows of
-every document, of the least size that holds it and a quarter of that size apart: windows with a cosine of COSINE or more
+every document, of the least size that holds it and a quarter (from 40 words on a third) of that size apart: windows with a cosine of COSINE or more
 are candidates. A candidate must hold OVERLAP of the item by TF-IDF mass; then the longest common subsequence of the
 item's words and the words around the window must cover LCS_SHARE of the item, and that of the item's answer, its last
 ANSWER_WORDS words, ANSWER_SHARE of it. Items under SHORT_WORDS words must be covered whole.
@@ -58,11 +58,14 @@ class Text:
         w = words.Words(col, t)
         accented = np.flatnonzero((w.data[:-1] == 0xC3) & (w.data[1:] >= 0x80) & (w.data[1:] <= 0x9E) & (w.data[1:] != 0x97)) + 1
         w.data[accented] += 32
+        at = np.arange(len(w.start))
         for _ in range(3):  # marks at the ends, where something is left
-            if not len(w.start):
-                break
-            w.end = w.end - (t["mark"][w.data[w.end - 1]] & (w.end - w.start > 1))
-            w.start = w.start + (t["mark"][w.data[w.start]] & (w.end - w.start > 1))
+            at = at[t["mark"][w.data[w.end[at] - 1]] & (w.end[at] - w.start[at] > 1)]
+            w.end[at] -= 1
+        at = np.arange(len(w.start))
+        for _ in range(3):
+            at = at[t["mark"][w.data[w.start[at]]] & (w.end[at] - w.start[at] > 1)]
+            w.start[at] += 1
         if len(w.start):
             edge = np.zeros(len(w.data) + 1, dtype=np.int8)
             edge[w.start] += 1
@@ -128,7 +131,8 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     def work(part, x: Text, state: dict) -> None:
         if len(x.f):
             blocks = _blocks(x)
-            keys = np.unique(blocks * FEATURES + x.f)
+            keys = blocks * FEATURES + x.f
+            keys = np.unique(keys.astype(np.int32) if keys[-1] < 1 << 30 else keys)
             state["df"] = state.get("df", 0) + np.bincount(keys % FEATURES, minlength=FEATURES)
             state["n"] = state.get("n", 0) + int(blocks[-1]) + 1
 
@@ -228,7 +232,7 @@ class Items:
         a, b = x.first[rows], x.first[rows + 1]
         padded = np.concatenate([x.f, np.full(SIZES[-1], -1)])
         for size, item, y, mass, least in self.classes:
-            step = size // 4
+            step = size // 4 if size < 40 else size // 3
             count = np.maximum(0, -(-(b - a - size) // step)) + 1
             row = np.repeat(rows, count)
             start = np.repeat(a, count) + step * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
