@@ -1 +1,289 @@
-QUERIES, ORACLES = {}, {}
+"""Queries of operators that need a grouped map, a text kernel or a stream. Oracles where SQL can state them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import text as kernels
+from quire.operators import evaluate, greedy, ledger, names
+from quire.plans.dialect import view
+from quire.sources import formats
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def _page_kernel(name: str, schema: str, kernel: Callable[[pd.DataFrame], pd.DataFrame], where: str = "true", oracle: str | None = None) -> None:
+    @query(name, oracle)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return greedy.per_page(view(spark, sf_dir, "boxes").where(where), kernel, schema)
+
+
+def _rows(page: pd.DataFrame, kept: list[int]) -> pd.DataFrame:
+    return page.loc[kept, ["page_id", "box_id"]]
+
+
+def _labelled(page: pd.DataFrame, **columns: list) -> pd.DataFrame:
+    return page[["page_id", "box_id"]].assign(**columns)
+
+
+def _by_score(page: pd.DataFrame) -> list[int]:
+    return sorted(range(len(page)), key=lambda k: (-page.score[k], k))
+
+
+def _by_area(page: pd.DataFrame) -> list[int]:
+    return sorted(range(len(page)), key=lambda k: (-page.w[k] * page.h[k], k))
+
+
+BOX = "page_id long, box_id long"
+_page_kernel("g1_suppression", BOX, lambda p: _rows(p, greedy.kept_after_suppression(greedy.as_boxes(p), _by_score(p), lambda a, b: greedy.iou(a, b) >= 0.35)))
+_page_kernel("g1_containment_suppression", BOX, lambda p: _rows(p, greedy.kept_after_suppression(greedy.as_boxes(p), _by_area(p), lambda a, b: greedy.covered(a, b) >= 0.85)))
+_page_kernel("j5_additive_union", BOX, lambda p: _rows(p, greedy.kept_after_suppression(greedy.as_boxes(p), list(range(len(p))), lambda a, b: greedy.iou(a, b) >= 0.35)))
+_page_kernel("j11_vouched", BOX, lambda p: _rows(p, greedy.vouched(greedy.as_boxes(p), (p.score >= 600).tolist())))
+_page_kernel("g8_parent_or_children", BOX, lambda p: _rows(p, greedy.parents_or_children(greedy.as_boxes(p), p.score.tolist())))
+_page_kernel("g7_widest_link", BOX + ", side long", lambda p: _labelled(p, side=greedy.widest_link(greedy.as_boxes(p))))
+_page_kernel("g10_passages", BOX + ", passage long", lambda p: _labelled(p, passage=greedy.stacked(greedy.as_boxes(p))))
+_page_kernel("w5_bands", BOX + ", place long", lambda p: _placed(p, greedy.bands(greedy.as_boxes(p))))
+_page_kernel("w13_spoken_first", BOX + ", place long", lambda p: _placed(p, greedy.spoken_first(greedy.as_boxes(p))))
+_page_kernel("w14_reading_order", BOX + ", place long", lambda p: _placed(p, greedy.reading_order(greedy.as_boxes(p))))
+_page_kernel("a27_snapped_colours", BOX + ", r long, g long, b long", lambda p: _colours(p))
+_page_kernel(
+    "g5_components", BOX + ", component long", lambda p: _labelled(p, component=[int(p.box_id[k]) for k in greedy.groups_in_reach(greedy.as_boxes(p), 0.1)]),
+    oracle="""
+      with recursive near as (select a.page_id, a.box_id a_id, b.box_id b_id from boxes a join boxes b on a.page_id = b.page_id where
+          power(greatest(0, greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w)), 2) + power(greatest(0, greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h)), 2) <= power(0.1 * least(a.w, a.h, b.w, b.h), 2)),
+        reach as (select page_id, a_id, b_id from near union select r.page_id, r.a_id, n.b_id from reach r join near n on n.page_id = r.page_id and n.a_id = r.b_id)
+      select page_id, a_id box_id, min(b_id) component from reach group by page_id, a_id""",
+)
+
+
+def _placed(page: pd.DataFrame, order: list[int]) -> pd.DataFrame:
+    place = [0] * len(order)
+    for n, i in enumerate(order):
+        place[i] = n
+    return _labelled(page, place=place)
+
+
+def _colours(page: pd.DataFrame) -> pd.DataFrame:
+    seen = greedy.snapped([(int(x) % 32, int(y) % 32, int(s) % 32) for x, y, s in zip(page.x, page.y, page.score)])
+    return _labelled(page, r=[c[0] for c in seen], g=[c[1] for c in seen], b=[c[2] for c in seen])
+
+
+@query("g2_one_owner")
+def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 and G2: loose boxes and the smallest free balloon that holds them."""
+
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        loose, balloons = p[p.kind != "bubble"].reset_index(drop=True), p[p.kind == "bubble"].reset_index(drop=True)
+        owner = greedy.one_owner_each(greedy.as_boxes(loose), greedy.as_boxes(balloons), 0.3)
+        return _labelled(loose, owner=[int(balloons.box_id[k]) if k >= 0 else -1 for k in owner])
+
+    return greedy.per_page(view(spark, sf_dir, "boxes"), kernel, BOX + ", owner long")
+
+
+@query("g3_swapped_neighbours")
+def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J13 and G3: neighbours whose readings fit each other's boxes better, best gain first."""
+
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        import math
+
+        b, found = greedy.as_boxes(p), []
+        chars = [1 + int(s) % 60 for s in p.score]
+        for i in range(len(b)):
+            for j in range(i + 1, len(b)):
+                if max(greedy.gap(b[i], b[j])) > 60:
+                    continue
+                size = [b[k][2] * b[k][3] for k in (i, j)]
+                now = abs(math.log(chars[i] / size[0]) - math.log(chars[j] / size[1]))
+                then = abs(math.log(chars[j] / size[0]) - math.log(chars[i] / size[1]))
+                if now >= math.log(6) and then <= math.log(2):
+                    found.append((now - then, i, j))
+        pairs = greedy.disjoint_pairs(found)
+        return pd.DataFrame([(int(p.page_id[0]), int(p.box_id[i]), int(p.box_id[j])) for i, j in pairs], columns=["page_id", "a_id", "b_id"])
+
+    return greedy.per_page(view(spark, sf_dir, "boxes"), kernel, "page_id long, a_id long, b_id long")
+
+
+@query("g6_merged_boxes")
+def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        out = greedy.merged_to_rest(greedy.as_boxes(p), 0.5)
+        return pd.DataFrame([(int(p.page_id[0]), k, *map(int, b)) for k, b in enumerate(out)], columns=["page_id", "place", "x", "y", "w", "h"])
+
+    return greedy.per_page(view(spark, sf_dir, "boxes"), kernel, "page_id long, place long, x long, y long, w long, h long")
+
+
+@query("g9_grown_to_marks")
+def g9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        owners, marks = p[p.kind == "bubble"].reset_index(drop=True), p[p.kind != "bubble"].reset_index(drop=True)
+        got = greedy.grown(greedy.as_boxes(owners), greedy.as_boxes(marks), 0.3)
+        return _labelled(marks, owner=[int(owners.box_id[k]) if k >= 0 else -1 for k in got])
+
+    return greedy.per_page(view(spark, sf_dir, "boxes"), kernel, BOX + ", owner long")
+
+
+@query("j7_clear_of_balloons")
+def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        b = greedy.as_boxes(p)
+        balloons = [x for x, k in zip(b, p.kind) if k == "bubble"]
+        rows = [(int(p.page_id[i]), int(p.box_id[i]), *map(int, r)) for i in range(len(b)) if p.kind[i] != "bubble" and (r := greedy.remaining_box(b[i], balloons))]
+        return pd.DataFrame(rows, columns=["page_id", "box_id", "x", "y", "w", "h"])
+
+    return greedy.per_page(view(spark, sf_dir, "boxes"), kernel, "page_id long, box_id long, x long, y long, w long, h long")
+
+
+@query("j12_read_twice")
+def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        return _rows(p, greedy.without_subreadings(greedy.as_boxes(p), [str(s)[: 1 + int(s) % 3] for s in p.score], 0.3))
+
+    return greedy.per_page(view(spark, sf_dir, "boxes"), kernel, BOX)
+
+
+@query("w6_nearest_cuts")
+def w6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        flat = [i for i, f in enumerate(p.sort_values("row_no").flat) if f]
+        return pd.DataFrame([(int(p.strip_id.iloc[0]), n, c) for n, c in enumerate(greedy.nearest_cuts(flat, 4, 6, len(p)))], columns=["strip_id", "n", "at_row"])
+
+    return view(spark, sf_dir, "flags").groupBy("strip_id").applyInPandas(kernel, "strip_id long, n long, at_row long")
+
+
+@query("j19_known_names")
+def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New words against a sheet of known ones, bounded by the sheet's size of a few hundred."""
+    words = view(spark, sf_dir, "tokens").where("length(tok) >= 8").select(F.lower("tok").alias("w")).distinct()
+    sheet = [r["w"] for r in words.orderBy("w").limit(200).collect()]
+
+    def match(batches):
+        forms = {s: names.canonical(s) for s in sheet}
+        for x in batches:
+            others = [[s for s in sheet if s != w] for w in x.w]
+            yield pd.DataFrame({"w": x.w, "known": [names.known_as(w, o, [forms[s] for s in o]) for w, o in zip(x.w, others)]})
+
+    return words.mapInPandas(match, "w string, known string").where("known is not null")
+
+
+@query("j21_name_drift")
+def j21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = view(spark, sf_dir, "tokens").where("length(tok) >= 9").select("doc_id", F.lower("tok").alias("w")).distinct()
+    pairs = words.join(words.select((F.col("doc_id") + 1).alias("doc_id"), F.col("w").alias("used")), "doc_id").where("w <> used and substring(w, 1, 1) = substring(used, 1, 1)")
+    close = pairs.withColumn("r", kernels.ratio("w", "used")).where("r >= 0.72")
+    return close.groupBy("doc_id", "w").agg(F.min("used").alias("used"))
+
+
+@query("a10_chrf")
+def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = view(spark, sf_dir, "said")
+    nxt = F.lead("text").over(Window.partitionBy("page_id").orderBy("ord"))
+    return evaluate.chrf(lines.select(F.col("text").alias("hypothesis"), nxt.alias("reference")).where("reference is not null"))
+
+
+@query("a11_persons")
+def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    person = F.udf(lambda t: sorted(evaluate.persons(t)), "array<int>")
+    return view(spark, sf_dir, "said").select("page_id", "ord", F.explode(person("text")).alias("person")).groupBy("person").count()
+
+
+@query("f3_comparison_form")
+def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "said").select("page_id", "ord", kernels.nfkc("text").alias("form"))
+
+
+@query("f5_json_repair")
+def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loose = F.concat(F.lit("```json\n{page: "), F.col("page_id"), F.lit(", 'speaker': \""), F.col("speaker"), F.lit("\", }\n```"))
+    return view(spark, sf_dir, "lines").select("page_id", "ord", kernels.json_repair(loose).alias("json"))
+
+
+@query("f7_hyphenation")
+def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = dict(map(kernels.pattern_of, ("t1h", "n1d", "e1r", "1tion", "a1t", "r1e")))
+    hyphens = F.udf(lambda w: kernels.break_points(w, patterns), "array<int>")
+    return view(spark, sf_dir, "tokens").select(F.lower("tok").alias("word")).distinct().select("word", hyphens("word").alias("points"))
+
+
+@query("f8_own_breaks")
+def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.udf(kernels.own_breaks, "array<string>")
+    return view(spark, sf_dir, "lines").select("page_id", "ord", parts(F.concat_ws("-", "speaker", "speaker")).alias("parts"))
+
+
+@query("f9_broken_lines")
+def f9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = F.udf(lambda t: kernels.broken_lines((t or "").split()[:24], [40.0] * 5), "array<string>")
+    return view(spark, sf_dir, "said").select("page_id", "ord", fit("text").alias("lines"))
+
+
+@query("s4_documents_round_trip", oracle="select page_id, ord, speaker, text from lines")
+def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 to S6: pages as JSON documents, and back."""
+    lines = view(spark, sf_dir, "lines").select("page_id", F.col("ord").cast("long").alias("ord"), "speaker", "text")
+    out = formats.regions(formats.documents(lines))
+    return out.select("page_id", F.col("ord").cast(dict(view(spark, sf_dir, "lines").dtypes)["ord"]).alias("ord"), "speaker", "text")
+
+
+@query("s12_template_round_trip", oracle="select cast(page_id as varchar) page, cast(ord + 1 as integer) n, trim(speaker) english from lines")
+def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S11 and S12: a template, filled in, read back."""
+    lines = view(spark, sf_dir, "lines")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord")
+        text = formats.template([(str(p), int(o) + 1, "", s) for p, o, s in zip(rows.page_id, rows.ord, rows.speaker)])
+        return pd.DataFrame(formats.filled_in(text), columns=["page", "n", "english"])
+
+    return lines.groupBy("page_id").applyInPandas(run, "page string, n int, english string")
+
+
+@query("m2_people_merge")
+def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additions of one series in order; a series is a group of a few hundred names."""
+    words = view(spark, sf_dir, "tokens").where("length(tok) >= 9").select((F.col("doc_id") % 50).alias("series"), "doc_id", "tok").distinct()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "tok"])
+        sheet, refused = names.merged_people({}, [(t, "") for t in rows.tok], {t.lower() for t in rows.tok[rows.doc_id % 3 != 0]}, set())
+        return pd.DataFrame([(int(rows.series.iloc[0]), n, "set") for n in sheet] + [(int(rows.series.iloc[0]), n, why) for n, why in refused], columns=["series", "name", "outcome"])
+
+    return words.groupBy("series").applyInPandas(run, "series long, name string, outcome string")
+
+
+def account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "ledger")
+    kind = F.when(F.col("kind") == "meter", "refund").otherwise(F.col("kind"))
+    return rows.select("uid", "seq", kind.alias("kind"), F.concat(F.lit("run"), (F.col("seq") % 40).cast("string")).alias("run"), "coins")
+
+
+@query("m7_settled_ledger")
+def m7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.settled(account_events(spark, sf_dir))
+
+
+@query("t2_balances", oracle="select uid, cast(sum(case kind when 'credit' then coins when 'spend' then -coins else 0 end) as bigint) balance from ledger group by uid")
+def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.balances(view(spark, sf_dir, "ledger"))
+
+
+@query("t5_live_entries", oracle="select uid, seq from (select uid, seq, max(seq) over (partition by uid) last from ledger) l where last - seq < 500")
+def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "ledger").select("uid", "seq", F.max("seq").over(Window.partitionBy("uid")).alias("last"))
+    return rows.where("last - seq < 500").select("uid", "seq")
