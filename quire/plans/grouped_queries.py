@@ -169,17 +169,22 @@ def w6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j19_known_names")
 def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New words against a sheet of known ones, bounded by the sheet's size of a few hundred."""
-    words = view(spark, sf_dir, "tokens").where("length(tok) >= 8").select(F.lower("tok").alias("w")).distinct()
-    sheet = [r["w"] for r in words.orderBy("w").limit(200).collect()]
+    """Words of one document against those known from more: equal canonical forms meet, and forms one edit apart share a form with a letter left out."""
+    words = view(spark, sf_dir, "tokens").where("length(tok) >= 8").groupBy(F.lower("tok").alias("w")).agg(F.countDistinct("doc_id").alias("docs"))
 
-    def match(batches):
-        forms = {s: names.canonical(s) for s in sheet}
+    def keyed(batches):
         for x in batches:
-            others = [[s for s in sheet if s != w] for w in x.w]
-            yield pd.DataFrame({"w": x.w, "known": [names.known_as(w, o, [forms[s] for s in o]) for w, o in zip(x.w, others)]})
+            rows = []
+            for w, docs in zip(x.w, x.docs):
+                form = names.canonical(w)
+                rows += [(w, docs, form, k) for k in {form, *(form[:i] + form[i + 1 :] for i in range(len(form)) if len(form) >= 5)}]
+            yield pd.DataFrame(rows, columns=["w", "docs", "form", "k"])
 
-    return words.mapInPandas(match, "w string, known string").where("known is not null")
+    forms = words.mapInPandas(keyed, "w string, docs long, form string, k string")
+    known = forms.where("docs >= 3").select("k", F.col("w").alias("known"), F.col("form").alias("known_form"))
+    pairs = forms.where("docs = 1").join(known, "k").select("w", "form", "known", "known_form").distinct()
+    near = (F.col("form") == F.col("known_form")) | ((F.least(F.length("form"), F.length("known_form")) >= 5) & (F.levenshtein("form", "known_form") <= 1))
+    return pairs.where(near).groupBy("w").agg(F.min("known").alias("known"))
 
 
 @query("j21_name_drift")
@@ -287,3 +292,41 @@ def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "ledger").select("uid", "seq", F.max("seq").over(Window.partitionBy("uid")).alias("last"))
     return rows.where("last - seq < 500").select("uid", "seq")
+
+
+def _streamed(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataFrame:
+    import uuid
+
+    from quire.streaming.ledger_stream import collected
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/quire-streams-{uuid.uuid4().hex}"
+    return collected(df, spark, f"{name}_{uuid.uuid4().hex}", f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}", mode)
+
+
+@query("t11_stream_windows", oracle="select event_type, {epoch(ts)} {div} 86400 day_, count(*) n from @events group by 1, 2")
+def t11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling day windows over the stream of events, in complete mode."""
+    from quire.streaming.ledger_stream import events, tumbling
+
+    out = _streamed(spark, tumbling(events(spark, sf_dir)), "windows", "complete")
+    return out.select("event_type", F.expr("unix_seconds(start) div 86400").alias("day_"), "n")
+
+
+@query("t3_stream_apply_once", oracle="select user_id, event_type from @events group by user_id, event_type")
+def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each user and kind of event, however often it comes, within a watermark longer than the table."""
+    from quire.streaming.ledger_stream import applied_once, events
+
+    return _streamed(spark, applied_once(events(spark, sf_dir), ["user_id", "event_type"], "3650 days"), "once", "append").select("user_id", "event_type")
+
+
+@query("t4_stream_accounts")
+def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The account state machine over the stream of events; equal to m7_settled_ledger when the table comes in one batch."""
+    from quire.streaming.ledger_stream import events
+
+    kinds = F.when(F.col("event_type").isin("purchase", "signup"), "credit").when(F.col("event_type").isin("click", "view"), "spend").otherwise("refund")
+    rows = events(spark, sf_dir).select(
+        F.col("user_id").alias("uid"), F.col("event_id").alias("seq"), kinds.alias("kind"), F.concat(F.lit("run"), (F.col("event_id") % 40).cast("string")).alias("run"), F.ceil("value").cast("long").alias("coins")
+    )
+    return _streamed(spark, ledger.settled_stream(rows), "accounts", "append")
