@@ -42,7 +42,7 @@ def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(n,) for n in sorted(tables)], "name string").coalesce(1).write.mode("overwrite").json(f"{path}/_bundle.json".replace("_bundle", "manifest"))
+    spark.createDataFrame([(n,) for n in sorted(tables)], "name string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest.json")
 
 
 def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
