@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages of BLOCK words, over all documents, give TF-IDF vectors over FEATURES hashed words (those in more than MAX_DF of
-the passages count as stop words). A randomised SVD of that matrix A is computed in one distributed pass: with a Gaussian
+Passages of BLOCK words, over all documents, give TF-IDF vectors over FEATURES hashed words (the commonest,
+that make up STOP_SHARE of all words of passages, count as stop words). A randomised SVD of that matrix A is computed in one distributed pass: with a Gaussian
 test matrix W, tasks sum A'(A W), and the Nystrom form of A'A gives the right singular vectors V and values s. Texts are
 projected on V/s, so that no common topic rules the cosine. Every benchmark item is then sought in sliding windows of
 every document, of the least size that holds it and a quarter (from 40 words on a third) of that size apart: windows with a cosine of COSINE or more
@@ -34,7 +34,7 @@ from quire.llm import words
 from quire.llm.common import cut
 
 FEATURES, RANK = 1 << 14, 48
-BLOCK, MAX_DF = 64, 0.03
+BLOCK, STOP_SHARE = 64, 0.25
 SIZES = (20, 27, 36, 48, 64)
 COSINE, OVERLAP = 0.5, 0.45
 LCS_SHARE, ANSWER_SHARE, ANSWER_WORDS, SHORT_WORDS = 0.6, 0.5, 6, 8
@@ -150,7 +150,9 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 def latent_space(docs: DataFrame, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features (IDF; 0 for stop words), and the projection, FEATURES by RANK."""
     df, n = document_frequency(docs)
-    idf = np.where(df <= max(MAX_DF * n, 2), np.log((n + 1) / (df + 1)), 0.0)
+    idf = np.log((n + 1) / (df + 1))
+    order = np.argsort(-df, kind="stable")
+    idf[order[np.cumsum(df[order]) <= STOP_SHARE * df.sum()]] = 0.0
     test = np.random.Generator(np.random.PCG64(seed)).standard_normal((FEATURES, RANK)) * (idf > 0)[:, None]
     ahead = (test * idf[:, None]).astype(np.float32)
 

@@ -236,15 +236,17 @@ def lines_to_drop(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with their text less the lines that go, and n_lines and n_dropped (0 for null text)."""
-    docs = docs.drop("th", "n_lines", "n_dropped", "gone", "_lines", "_d", "_h")
-    keyed = docs.withColumn("th", F.xxhash64("text"))
-    gone = lines_to_drop(keyed.select("doc_id", "th", F.col("text").cast("string").alias("text")))
+    docs = docs.drop("n_lines", "n_dropped")
+    th = F.xxhash64("text")
+    gone = lines_to_drop(docs.select("doc_id", th.alias("th"), F.col("text").cast("string").alias("text")))
     release(docs)
-    g = gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "gone")
-    out = keyed.join(g, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")), "left").withColumn("_lines", F.split("text", "\n", -1))
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), gone), i -> get(_lines, i)), '\n')")
-    columns = [F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else c for c in docs.columns]
-    return out.select(*columns, F.coalesce(F.greatest(F.size("_lines"), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.greatest(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"))
+    g = gone.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("gone").alias("__gone"))
+    keyed = docs.withColumn("__th", th)
+    out = keyed.join(g, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left").withColumn("__lines", F.split("text", "\n", -1))
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> get(__lines, i)), '\n')")
+    columns = [F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else c for c in docs.columns]
+    size = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return out.select(*columns, size("__lines").alias("n_lines"), size("__gone").alias("n_dropped"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
