@@ -34,9 +34,9 @@ from quire.llm import words
 from quire.llm.common import cut
 
 FEATURES, RANK = 1 << 14, 48
-BLOCK, STOP_SHARE = 64, 0.25
+BLOCK, STOP_SHARE = 64, 0.35
 SIZES = (20, 27, 36, 48, 64)
-COSINE, OVERLAP = 0.5, 0.45
+COSINE, OVERLAP = 0.47, 0.45
 LCS_SHARE, ANSWER_SHARE, ANSWER_WORDS, SHORT_WORDS = 0.6, 0.5, 6, 8
 ITEM_BLOCK = 4096
 U = np.uint64
