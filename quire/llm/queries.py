@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm import oracles
 from quire.llm.common import table
 from quire.llm.decontaminate import contaminated
 from quire.llm.html_extract import extract
@@ -73,4 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": oracles.LINE_DEDUP,
+    "op4_warc": oracles.WARC,
+    "op5_ngram_jaccard_join": oracles.NEAR_DUPLICATES,
+}

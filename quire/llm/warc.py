@@ -237,4 +237,4 @@ def archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> DataFram
 
 
 def warc_digest(pages: DataFrame) -> DataFrame:
-    return archive(pages, new_path(pages.sparkSession, "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time")
+    return archive(pages, new_path(pages.sparkSession, "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_time")
