@@ -17,6 +17,8 @@ and all texts are `und`; null doc_id and repeated rows are scored like others; o
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words
+from quire.llm.common import cut
 
 FEATURES = 1 << 17
 SEGMENT, TRAIN_PER_LABEL, EPOCHS, RATE = 48, 700, 30, 0.25
@@ -210,30 +213,37 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     if not labels:
         return [], np.zeros((FEATURES, 0), dtype=np.float32), np.zeros((0, 0))
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each label the segments of this task with the least hash."""
-        import hashlib
-        import heapq
-
+    def least(rows: Iterator[tuple[str, int, str]]) -> pa.RecordBatch:
+        """Of each label the segments with the least rank."""
         heaps: dict[str, list] = {x: [] for x in labels}
-        for batch in batches:
-            for doc, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ws = text.split()
-                for s in range(0, max(1, len(ws) - SEGMENT // 2), SEGMENT):
-                    rank = int.from_bytes(hashlib.blake2b(f"{doc}:{s}".encode(), digest_size=7).digest(), "big")
-                    heap = heaps[lang]
-                    if len(heap) < TRAIN_PER_LABEL:
-                        heapq.heappush(heap, (-rank, " ".join(x[:64] for x in ws[s : s + SEGMENT])))
-                    elif -rank > heap[0][0]:
-                        heapq.heapreplace(heap, (-rank, " ".join(x[:64] for x in ws[s : s + SEGMENT])))
-        rows = [(x, -r, s) for x, heap in heaps.items() for r, s in heap]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], names=["lang", "rank", "segment"])
-
-    found = known.mapInArrow(best, "lang string, rank long, segment string")
-    parts = [found.where(F.col("lang") == x).orderBy("rank", "segment").limit(TRAIN_PER_LABEL) for x in labels]
-    sample = parts[0]
-    for x in parts[1:]:
-        sample = sample.union(x)
+        for lang, rank, segment in rows:
+            heap = heaps[lang]
+            if len(heap) < TRAIN_PER_LABEL:
+                heapq.heappush(heap, (-rank, segment))
+            elif (-rank, segment) > heap[0]:
+                heapq.heapreplace(heap, (-rank, segment))
+        found = [(x, -r, s) for x, heap in heaps.items() for r, s in heap]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], names=["lang", "rank", "segment"])
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for doc, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    ws = text.split()
+                    for s in range(0, max(1, len(ws) - SEGMENT // 2), SEGMENT):
+                        rank = int.from_bytes(hashlib.blake2b(f"{doc}:{s}".encode(), digest_size=7).digest(), "big")
+                        yield lang, rank, " ".join(x[:64] for x in ws[s : s + SEGMENT])
+
+        yield least(rows())
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield least(row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3))))
+
+    # The best of each task, then of a share of the tasks' rows, then of all.
+    schema = "lang string, rank long, segment string"
+    found = known.mapInArrow(segments, schema).withColumn("part", F.pmod("rank", F.lit(32))).repartition("lang", "part").drop("part").mapInArrow(merged, schema)
+    found = cut(found, "lang-segments")
+    sample = found.repartition(1).mapInArrow(merged, schema)
     rows = sorted((r["rank"], r["lang"], r["segment"]) for r in sample.collect())
     number = {x: i for i, x in enumerate(labels)}
     sequences = []
