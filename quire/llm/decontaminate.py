@@ -104,7 +104,8 @@ def _sum_rows(rows: DataFrame, dtype) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["j", "part", "v"])
 
     schema = "j int, part int, v binary"
-    got = rows.repartition(32, "j", "part").mapInArrow(add, schema).repartition(8, "j").mapInArrow(add, schema).toArrow().sort_by("j")
+    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    got = rows.repartition(shares, "j", "part").mapInArrow(add, schema).repartition(8, "j").mapInArrow(add, schema).toArrow().sort_by("j")
     return np.concatenate([np.frombuffer(v.as_buffer(), dtype=dtype) for c in got["v"].chunks for v in c]) if got.num_rows else np.empty(0, dtype=dtype)
 
 
