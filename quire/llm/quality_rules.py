@@ -105,7 +105,7 @@ def _distance(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def _center_and_spread(x: DataFrame) -> DataFrame:
-    """key -> median and MAD of each coordinate, from counts of values rounded to 1/256."""
+    """key -> median and MAD of each coordinate, from counts of values rounded to 1/64."""
     coords = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"x{j}").alias("v")) for j in range(DIM)])).alias("e")
 
     def middle(h: DataFrame) -> DataFrame:
@@ -113,12 +113,12 @@ def _center_and_spread(x: DataFrame) -> DataFrame:
         cum = h.withColumn("c", F.sum("n").over(w.orderBy("q"))).withColumn("all", F.sum("n").over(w))
         return cum.where("2 * c >= all").groupBy("key", "j").agg(F.min("q").alias("q"))
 
-    long = x.select("key", coords).select("key", "e.j", F.round(F.col("e.v") * 256).cast("long").alias("q"))
+    long = x.select("key", coords).select("key", "e.j", F.round(F.col("e.v") * 64).cast("long").alias("q"))
     med = cut(middle(long.groupBy("key", "j", "q").agg(F.count("*").alias("n"))), "mcd-median")
     dev = long.groupBy("key", "j", "q").agg(F.count("*").alias("n")).join(med.withColumnRenamed("q", "m"), ["key", "j"])
     mad = middle(dev.groupBy("key", "j", F.abs(F.col("q") - F.col("m")).alias("q")).agg(F.sum("n").alias("n")))
     both = med.withColumnRenamed("q", "m").join(mad, ["key", "j"])
-    at = lambda c, j: F.max(F.when(F.col("j") == j, F.col(c) / 256.0))
+    at = lambda c, j: F.max(F.when(F.col("j") == j, F.col(c) / 64.0))
     return both.groupBy("key").agg(
         *[at("m", j).alias(f"m{j}") for j in range(DIM)],
         *[F.greatest(1.4826 * at("q", j), F.lit(FLOOR[j])).alias(f"s{j}") for j in range(DIM)],
