@@ -330,3 +330,48 @@ def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("uid"), F.col("event_id").alias("seq"), kinds.alias("kind"), F.concat(F.lit("run"), (F.col("event_id") % 40).cast("string")).alias("run"), F.ceil("value").cast("long").alias("coins")
     )
     return _streamed(spark, ledger.settled_stream(rows), "accounts", "append")
+
+
+@query("f10_layout_fit")
+def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size and lines of each line's opening words in a box of its own, with a fixed-width metric."""
+    best = kernels.fitted
+
+    def run(batches):
+        for x in batches:
+            found = [best(t.split()[:12], 120 + 7 * (p % 20), 60 + 9 * (o % 9)) for p, o, t in zip(x.page_id, x.ord, x.text)]
+            yield pd.DataFrame({"page_id": x.page_id, "ord": x.ord, "size": pd.array([f[0] if f else None for f in found], dtype="Int64"), "lines": [f[1] if f else None for f in found]})
+
+    lines = view(spark, sf_dir, "said").select("page_id", F.col("ord").cast("long").alias("ord"), "text")
+    return lines.mapInPandas(run, "page_id long, ord long, size long, lines array<string>")
+
+
+@query("o10_far_apart_colours")
+def o10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        colours = list(dict.fromkeys((int(x) % 256, int(y) % 256, int(s) % 256) for x, y, s in zip(p.x, p.y, p.score)))
+        chosen = greedy.far_apart([(255, 255, 255)], colours, 3)
+        return pd.DataFrame([(int(p.page_id[0]), k, *c) for k, c in enumerate(chosen)], columns=["page_id", "place", "r", "g", "b"])
+
+    return greedy.per_page(view(spark, sf_dir, "boxes"), kernel, "page_id long, place long, r long, g long, b long")
+
+
+@query("s1_file_listing")
+def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and sizes of the files of the supplied tables, in natural order, without their contents."""
+    found = formats.images(spark, sf_dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return found.withColumn("place", F.row_number().over(Window.orderBy(formats.natural_key("name"), "name", "length")).cast("long"))
+
+
+@query("s10_font_paths")
+def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Font paths at any depth of a document, made relative."""
+    rewrite = F.udf(lambda d: _relative_fonts(d), "string")
+    doc = F.to_json(F.struct(F.concat(F.lit("/fonts/"), "kind").alias("font"), F.struct(F.lit("/fonts/b").alias("title_font"), F.col("score").alias("size")).alias("style")))
+    return view(spark, sf_dir, "boxes").select("box_id", rewrite(doc).alias("document"))
+
+
+def _relative_fonts(document: str) -> str:
+    import json
+
+    return json.dumps(formats.with_fonts(json.loads(document), lambda v: v.removeprefix("/fonts/")), sort_keys=True)

@@ -307,3 +307,16 @@ _add(
     x3_first_route="select page_id, coalesce(max(case when score > 990 then 'a' end), max(case when score > 700 then 'b' end), 'c') route from boxes group by page_id",
     x5_user_kinds="select b.box_id, coalesce(u.family, f.family, 'speech') family from boxes b left join families f on f.kind = b.kind left join (select 'sfx' kind, 'custom' family) u on u.kind = b.kind and b.page_id % 2 = 0",
 )
+_add(
+    p9_sound_or_speech="""
+      select page_id, ord, case when not {like}(t, '[A-Za-z]') then 'sound' when {like}(t, '(^| )(the|of|and|de|la|der|die)( |$)') then 'speech' when length(regexp_replace(t, '[^A-Za-z]', ''{g})) > 12 then 'speech' when ord % 5 = 0 then 'speech' else 'sound' end kind
+      from (select page_id, ord, case ord % 4 when 0 then '!?' when 1 then regexp_extract(text, '^([^ ]+)', 1) when 2 then regexp_extract(text, '^([^ ]+ [^ ]+)', 1) else text end t from said) l""",
+    a5_lost_honorifics="""
+      select page_id, count(*) lines_, cast(sum(case when {like}(src, '[a-z]tion') and not {like}(dst, '[a-z]tion') then 1 else 0 end) as bigint) lost, cast(sum(case when {like}(dst, '[a-z]tion') then 1 else 0 end) as bigint) kept
+      from (select page_id, text src, case when ord % 2 = 0 then regexp_replace(text, 'tion', ''{g}) else text end dst from said) l group by page_id""",
+    f11_font_cascade="""
+      select box_id, coalesce(hand, sub, family_font, project, 'plain') font from (select b.box_id, case when b.box_id % 13 = 0 then 'hand' end hand, case when b.score % 5 = 0 then 'sub' end sub, case f.family when 'sound' then 'brush' end family_font, case when b.page_id % 2 = 0 then 'house' end project
+        from boxes b join families f on f.kind = b.kind) x""",
+    g13_run_angle="""
+      select page_id, count(*) marks, round(degrees(0.5 * atan2(2 * covar_pop(cx, cy), var_pop(cx) - var_pop(cy))), 4) angle from (select page_id, x + w / 2.0 cx, y + h / 2.0 cy from boxes where kind = 'sfx') b group by page_id having count(*) >= 3""".replace("/ 2.0", "* cast(0.5 as {dbl})"),
+)

@@ -56,3 +56,9 @@ def test_names():
 def test_people_merge_in_order():
     sheet, refused = n.merged_people({"Hana": ""}, [("The guard", "g"), ("Sakura", "1"), ("Sakurra", "2"), ("Nobody", "3")], {"sakura", "sakurra"}, {"guard"})
     assert sheet == {"Hana": "", "Sakura": "1"} and refused == [("The guard", "generic"), ("Sakurra", "known"), ("Nobody", "written nowhere")]
+
+
+def test_layout_takes_the_largest_size_that_fits():
+    size, lines = t.fitted(["aa", "bb"], 200, 60, sizes=(24, 12))
+    assert size == 24 and " ".join(lines) == "aa bb"
+    assert t.fitted(["x" * 99], 50, 50) is None
