@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as kernels
-from quire.operators import evaluate, greedy, ledger, names
+from quire.operators import cost, evaluate, greedy, ledger, names, sequence, spatial
 from quire.plans.dialect import view
 from quire.sources import formats
 
@@ -375,3 +375,40 @@ def _relative_fonts(document: str) -> str:
     import json
 
     return json.dumps(formats.with_fonts(json.loads(document), lambda v: v.removeprefix("/fonts/")), sort_keys=True)
+
+
+# Operators that are also stated in SQL: the DataFrame form runs, and the SQL is its oracle.
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "boxes")
+
+
+def _panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "panels").toDF("page_id", "panel", "x", "y", "w", "h")
+
+
+QUERIES |= {
+    "j1_best_panel": lambda s, d: spatial.best_panel(_boxes(s, d), _panels(s, d)),
+    "j3_label_transfer": lambda s, d: spatial.transferred_labels(_boxes(s, d)),
+    "j4_uncovered": lambda s, d: spatial.uncovered(_boxes(s, d), F.col("b_kind") == "bubble").select("box_id"),
+    "j6_any_direction_cover": lambda s, d: spatial.covering_pairs(_boxes(s, d)),
+    "j8_drop_parents": lambda s, d: spatial.without_parents(_boxes(s, d)).select("box_id"),
+    "j9_absorbed_by_similar": lambda s, d: spatial.without_absorbed(_boxes(s, d)).select("box_id"),
+    "j10_crumbs": lambda s, d: spatial.without_crumbs(_boxes(s, d), F.col("b_kind") != "sfx").select("box_id"),
+    "j24_boxes_under": lambda s, d: spatial.boxes_under(_boxes(s, d), 60, 90, 180, 200).select("page_id", "box_id"),
+    "j27_grid_buckets": lambda s, d: spatial.grid(_boxes(s, d)),
+    "j28_neighbours_in_crop": lambda s, d: spatial.neighbours(_boxes(s, d)),
+    "w1_reading_rank": lambda s, d: sequence.reading_rank(view(s, d, "lines")),
+    "w3_gutters": lambda s, d: sequence.islands(view(s, d, "flags")),
+    "w4_interval_gaps": lambda s, d: sequence.interval_gaps(_boxes(s, d)),
+    "w9_last_lines": lambda s, d: sequence.last_of_each(view(s, d, "said")).select("page_id", "ord", "speaker"),
+    "w10_first_rendering": lambda s, d: sequence.first_of_each(view(s, d, "tokens").where("length(tok) >= 6").withColumn("term", F.lower("tok")), "term", ["doc_id", "tok"]),
+    "w12_running_balance": lambda s, d: sequence.running_balance(view(s, d, "ledger")),
+    "s21_user_receipt": lambda s, d: sequence.newest(view(s, d, "ledger"), ["uid"], ["seq"], 5).select("uid", "seq", "kind", "coins"),
+    "j18_longest_prefix": lambda s, d: cost.longest_prefix(view(s, d, "meter").select("model").union(s.createDataFrame([("x9",)], "model string")), view(s, d, "rates")),
+    "a15_drift_report": lambda s, d: cost.drift(view(s, d, "meter")),
+    "a17_accuracy": lambda s, d: cost.accuracy(view(s, d, "meter")),
+    "m10_hold_and_settle": lambda s, d: cost.settled(view(s, d, "meter")),
+    "a23_balance": lambda s, d: ledger.balances(view(s, d, "ledger")),
+}
