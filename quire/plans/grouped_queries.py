@@ -234,7 +234,8 @@ def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f9_broken_lines")
 def f9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = F.udf(lambda t: kernels.broken_lines((t or "").split()[:24], [40.0] * 5), "array<string>")
+    least, broken = kernels.wrapped, kernels.broken_lines
+    fit = F.udf(lambda t: broken(t.split(), [80.0] * ((least(t.split(), 80.0) or 0) + 1)), "array<string>")
     return view(spark, sf_dir, "said").select("page_id", "ord", fit("text").alias("lines"))
 
 
@@ -334,12 +335,12 @@ def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f10_layout_fit")
 def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size and lines of each line's opening words in a box of its own, with a fixed-width metric."""
+    """The size and lines of each line's words in a box of its own, with a fixed-width metric."""
     best = kernels.fitted
 
     def run(batches):
         for x in batches:
-            found = [best(t.split()[:12], 120 + 7 * (p % 20), 60 + 9 * (o % 9)) for p, o, t in zip(x.page_id, x.ord, x.text)]
+            found = [best(t.split(), 300 + 7 * (p % 20), 60 + 0.5 * len(t) + 9 * (o % 9)) for p, o, t in zip(x.page_id, x.ord, x.text)]
             yield pd.DataFrame({"page_id": x.page_id, "ord": x.ord, "size": pd.array([f[0] if f else None for f in found], dtype="Int64"), "lines": [f[1] if f else None for f in found]})
 
     lines = view(spark, sf_dir, "said").select("page_id", F.col("ord").cast("long").alias("ord"), "text")
