@@ -30,6 +30,8 @@ FLOOR = (0.5, 0.08, 0.35, 0.15, 0.12)
 #: Squared distance above which a vector is rejected: beyond the 1 - 1e-9 quantile of chi-square with 5 degrees.
 LIMIT = 50.0
 C_STEPS = 5
+#: Groups up to which their estimates are broadcast: at 0.4 KB each, 8 MB. Beyond it Spark chooses the join.
+BROADCAST_GROUPS = 20_000
 DIM = len(FLOOR)
 
 
@@ -125,9 +127,9 @@ def _center_and_spread(x: DataFrame) -> DataFrame:
     )
 
 
-def _c_step(x: DataFrame, est: DataFrame, share: dict[int, float], name: str) -> DataFrame:
+def _c_step(x: DataFrame, est: DataFrame, share: dict[int, float], name: str, small: bool) -> DataFrame:
     """One concentration step for each (key, start): moments of the share of rows that lie nearest."""
-    d = _distance(x.join(est, "key"), "key", "start", *[f"x{j}" for j in range(DIM)])
+    d = _distance(x.join(F.broadcast(est) if small else est, "key"), "key", "start", *[f"x{j}" for j in range(DIM)])
     d = d.withColumn("bucket", F.floor(F.log(F.col("d2") + 1e-9) * 64))
     pairs = [(i, j) for i in range(DIM) for j in range(i + 1)]
     hist = d.groupBy("key", "start", "bucket").agg(
@@ -150,7 +152,7 @@ def _c_step(x: DataFrame, est: DataFrame, share: dict[int, float], name: str) ->
     return cut(_with_factor(est), name)
 
 
-def estimates(x: DataFrame) -> DataFrame:
+def estimates(x: DataFrame, small: bool = False) -> DataFrame:
     """key -> mean and Cholesky factor of the subset with the smallest determinant, over two starts. x: key, x0..x4."""
     first = _center_and_spread(x)
     diag = lambda i, j: F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0)
@@ -160,7 +162,7 @@ def estimates(x: DataFrame) -> DataFrame:
     )
     est = cut(_with_factor(start), "mcd-start")
     for k in range(C_STEPS):
-        est = _c_step(x, est, {1: 0.5} if k == 0 else {}, f"mcd-step{k}")
+        est = _c_step(x, est, {1: 0.5} if k == 0 else {}, f"mcd-step{k}", small)
     best = est.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("logdet", "start")))
     return cut(best.where("_r = 1").drop("_r"), "mcd")
 
@@ -174,13 +176,15 @@ def judged(stats: DataFrame) -> DataFrame:
     counts = cut(sound.select(F.explode(F.array("k0", "k1", "k2")).alias("key")).groupBy("key").agg(F.count("*").alias("rows")), "mcd-groups")
     enough = counts.where((F.col("rows") >= MIN_GROUP) | (F.col("key") == "[]")).select("key", F.lit(True).alias("_ok"))
     xs = [f"x{j}" for j in range(DIM)]
-    x = sound.select(F.explode(F.array("k0", "k1", "k2")).alias("key"), *xs).join(enough, "key").drop("_ok")
-    est = estimates(x)
+    small = enough.count() <= BROADCAST_GROUPS
+    hint = F.broadcast if small else lambda df: df
+    x = sound.select(F.explode(F.array("k0", "k1", "k2")).alias("key"), *xs).join(hint(enough), "key").drop("_ok")
+    est = estimates(x, small)
     for i in (0, 1):
-        rows = rows.join(enough.select(F.col("key").alias(f"k{i}"), F.col("_ok").alias(f"_ok{i}")), f"k{i}", "left")
+        rows = rows.join(hint(enough.select(F.col("key").alias(f"k{i}"), F.col("_ok").alias(f"_ok{i}"))), f"k{i}", "left")
     rows = rows.withColumn("key", F.when(F.col("_ok0"), F.col("k0")).when(F.col("_ok1"), F.col("k1")).otherwise(F.col("k2")))
     keep = [*stats.columns, "base_failed"]
-    out = _distance(rows.join(est, "key", "left"), *keep)
+    out = _distance(rows.join(hint(est), "key", "left"), *keep)
     return out.select(*keep, F.col("d2").alias("distance2"), (~F.col("base_failed") & F.coalesce(F.col("d2") <= LIMIT, F.lit(True))).alias("kept"))
 
 
