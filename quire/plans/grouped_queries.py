@@ -300,8 +300,7 @@ def _streamed(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataF
 
     from quire.streaming.ledger_stream import collected
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/quire-streams-{uuid.uuid4().hex}"
-    return collected(df, spark, f"{name}_{uuid.uuid4().hex}", f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}", mode)
+    return collected(df, spark, f"{name}_{uuid.uuid4().hex}", _scratch(spark, f"{name}-log"), mode)
 
 
 @query("t11_stream_windows", oracle="select event_type, {epoch(ts)} {div} 86400 day_, count(*) n from @events group by 1, 2")
@@ -378,6 +377,76 @@ def _relative_fonts(document: str) -> str:
     return json.dumps(formats.with_fonts(json.loads(document), lambda v: v.removeprefix("/fonts/")), sort_keys=True)
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the folder that driver and executors share; a local one where none is named, as in tests."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quire-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s5_atomic_write", oracle="select page_id, ord, speaker, text from lines")
+def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "write")
+    lines = view(spark, sf_dir, "lines")
+    lines.write.mode("overwrite").parquet(path)
+    return spark.read.schema(lines.schema).parquet(path)
+
+
+@query("s6_page_json", oracle="select page_id, cast(to_json({'page_id': page_id, 'regions': list({'ord': cast(ord as bigint), 'speaker': speaker, 'text': text} order by ord)}) as varchar) document from lines group by page_id")
+def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = view(spark, sf_dir, "lines")
+    return formats.documents(lines.withColumn("ord", F.col("ord").cast("long")))
+
+
+@query("s7_bundle_round_trip", oracle="select l.page_id, l.ord, l.speaker, b.n from lines l join (select page_id, count(*) n from lines group by page_id) b on b.page_id = l.page_id")
+def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "bundle")
+    lines = view(spark, sf_dir, "lines")
+    formats.write_bundle({"lines": lines, "pages": lines.groupBy("page_id").agg(F.count("*").alias("n"))}, path)
+    back = formats.read_bundle(spark, path)
+    return back["lines"].join(back["pages"], "page_id").select("page_id", "ord", "speaker", "n")
+
+
+@query("s23_hyphenation_patterns")
+def s23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern file of the user's: here each word of three or four letters with a digit after its second."""
+    pattern = kernels.pattern_of
+    parse = F.udf(lambda line: tuple(pattern(line)), "struct<letters:string,digits:array<int>>")
+    lines = view(spark, sf_dir, "tokens").where("length(tok) <= 4").select(F.lower("tok").alias("w")).distinct()
+    return lines.select(parse(F.concat(F.substring("w", 1, 2), F.lit("1"), F.expr("substring(w, 3)"))).alias("p")).select("p.*")
+
+
+@query("f6_canonical_forms")
+def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = names.canonical
+
+    def run(batches):
+        for x in batches:
+            yield pd.DataFrame({"word": x.word, "form": [form(w) for w in x.word]})
+
+    return view(spark, sf_dir, "tokens").select(F.col("tok").alias("word")).distinct().mapInPandas(run, "word string, form string")
+
+
+@query("t7_saved_by_batch", oracle="select event_id, event_type from @events")
+def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch of a stream is written under its number, so that a batch that runs again replaces itself."""
+    from quire.streaming.ledger_stream import events
+
+    path = _scratch(spark, "saved")
+    rows = events(spark, sf_dir).select("event_id", "event_type")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    rows.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("event_id", "event_type")
+
+
+QUERIES |= {"j2_smallest_free_container": QUERIES["g2_one_owner"], "j13_readings_next_door": QUERIES["g3_swapped_neighbours"], "g4_nearest_centroids": QUERIES["a27_snapped_colours"]}
+
+
 # Operators that are also stated in SQL: the DataFrame form runs, and the SQL is its oracle.
 
 
