@@ -44,7 +44,7 @@ VIEWS: dict[str, str] = {
     "greatest(0, least(a.x+a.w, b.x+b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y+a.h, b.y+b.h) - greatest(a.y, b.y)) inter, a.w*a.h a_area, b.w*b.h b_area "
     "from boxes a join boxes b on a.page_id = b.page_id and a.box_id <> b.box_id) q where inter > 0",
     # panels: the page cut into a grid of 2 by 2
-    "panels": "select page_id, panel, (panel%2)*240 px, (panel {div} 2)*230 py, 240 pw, 230 ph from (select distinct page_id from boxes) p cross join (select {each}({range}(0, 3)) panel) g",
+    "panels": "select page_id, panel, (panel%2)*240 px, (panel {div} 2)*230 py, 240 pw, 230 ph from (select distinct page_id from boxes) p cross join (select cast(i as bigint) panel from (select {each}({range}(0, 3)) i) r) g",
     "families": "select 'bubble' kind, 'speech' family, 0 rank union all select 'sfx', 'sound', 1 union all select 'freefloat', 'loose', 2",
     "rates": "select 'm' prefix, 3 tin, 15 tout union all select 'm1', 1, 5 union all select 'm3', 10, 30",
     # words of lower-case text with their places

@@ -147,7 +147,7 @@ _add(
     j24_boxes_under="select page_id, box_id from boxes where x < 180 and x + w > 60 and y < 200 and y + h > 90",
     j25_pixel_owner="""
       select page_id, gx, gy, box_id from (select b.page_id, gx, gy, b.box_id, row_number() over (partition by b.page_id, gx, gy order by (2*gx - 2*b.x - b.w)*(2*gx - 2*b.x - b.w) + (2*gy - 2*b.y - b.h)*(2*gy - 2*b.y - b.h), b.box_id) r
-        from boxes b join (select 60 + 90 * (i % 4) gx, 60 + 90 * (i {div} 4) gy from (select {each}({range}(0, 15)) i) s) g on gx >= b.x and gx < b.x + b.w and gy >= b.y and gy < b.y + b.h) q where r = 1""",
+        from boxes b join (select cast(60 + 90 * (i % 4) as bigint) gx, cast(60 + 90 * (i {div} 4) as bigint) gy from (select {each}({range}(0, 15)) i) s) g on gx >= b.x and gx < b.x + b.w and gy >= b.y and gy < b.y + b.h) q where r = 1""",
     j26_unknown_speakers="select speaker, count(*) n, count(distinct page_id) pages from said s where not exists (select 1 from families f where f.family = s.speaker) and speaker <> 'system' group by speaker",
     j27_grid_buckets="""
       select page_id, least(2, greatest(0, cx {div} 160)) col, least(2, greatest(0, cy {div} 160)) row_, count(*) n, min(x) x0, min(y) y0, max(x + w) x1, max(y + h) y1
@@ -276,13 +276,13 @@ _add(
       join (select 0 part, 0 y0, 150 y1 union all select 1, 150, 300 union all select 2, 300, 480) c on c.part = z.part where b.y + b.h / 2.0 >= c.y0 and b.y + b.h / 2.0 < c.y1 and least(b.y + b.h, c.y1) - greatest(b.y, c.y0) >= 2""",
     m14_restitch="""
       select t.strip_id, t.row_no, c.cut, cast(least(t.y1, c.y1) - greatest(t.y0, c.y0) as bigint) rows_ from (select strip_id, row_no, sum(h) over (partition by strip_id order by row_no) - h y0, sum(h) over (partition by strip_id order by row_no) y1 from (select strip_id, row_no, 100 + row_no % 50 h from flags) f) t
-      join (select {each}({range}(0, 9)) cut) z on true join lateral (select z.cut cut, z.cut * 400 y0, z.cut * 400 + 400 y1) c on true where least(t.y1, c.y1) > greatest(t.y0, c.y0)""".replace(" join lateral (select z.cut cut, z.cut * 400 y0, z.cut * 400 + 400 y1) c on true", "").replace("(select {each}({range}(0, 9)) cut) z on true", "(select cut, cut * 400 y0, cut * 400 + 400 y1 from (select {each}({range}(0, 9)) cut) s) c on true"),
+      join (select {each}({range}(0, 9)) cut) z on true join lateral (select z.cut cut, z.cut * 400 y0, z.cut * 400 + 400 y1) c on true where least(t.y1, c.y1) > greatest(t.y0, c.y0)""".replace(" join lateral (select z.cut cut, z.cut * 400 y0, z.cut * 400 + 400 y1) c on true", "").replace("(select {each}({range}(0, 9)) cut) z on true", "(select cast(cut as bigint) cut, cut * 400 y0, cut * 400 + 400 y1 from (select {each}({range}(0, 9)) cut) s) c on true"),
 )
 
 # Scalar functions --------------------------------------------------------------------------------------------------------------------
 _add(
     f1_mark_cleanup="select page_id, ord, coalesce(nullif(trim(regexp_replace(regexp_replace(text, ' ?(—|--+) ?', ', '{g}), '[.]{4,}', '...'{g})), ''), text) text from (select page_id, ord, concat(speaker, ' -- and ....... ', speaker) text from lines) l",
-    f2_normalised="select doc_id, length(regexp_replace(translate(text, '“”‘’–', '\"\"''''-'), '[ ]{2,}', ' '{g})) n from @documents",
+    f2_normalised="select doc_id, cast(length(regexp_replace(translate(text, '“”‘’–', '\"\"''''-'), '[ ]{2,}', ' '{g})) as bigint) n from @documents",
     f4_escapes="select page_id, ord, replace(concat(speaker, '|n', speaker), '|n', ' ') text from lines",
     f12_geometry="select page_id, a_id, b_id, round(cast(inter as {dbl}) / (a_area + b_area - inter), 6) iou, round(cast(inter as {dbl}) / a_area, 6) share, least(ax, bx) ux, least(ay, by_) uy, greatest(ax + aw, bx + bw) - least(ax, bx) uw from pairs where a_id < b_id",
     f13_colours="select event_id, greatest(abs(r - 128), abs(g - 64), abs(b - 32)) distance from (select event_id, event_id % 256 r, (event_id * 7) % 256 g, (event_id * 13) % 256 b from @events) e",
