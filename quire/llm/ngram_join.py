@@ -49,7 +49,7 @@ MOST = 6
 COMMON = 12
 #: 64-bit words of the parity bitmap of a set at the second level.
 CELLS = 8
-#: Bits of the filter through which the second and third pass over the texts pick sets: at most 8 MB, of any input.
+#: Bits of the filter through which the second and third pass over the texts pick sets: 1 MB, of any input.
 FILTER_BITS = 1 << 23
 
 
