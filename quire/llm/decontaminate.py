@@ -66,11 +66,6 @@ class Text:
         for _ in range(3):
             at = at[t["mark"][w.data[w.start[at]]] & (w.end[at] - w.start[at] > 1)]
             w.start[at] += 1
-        if len(w.start):
-            edge = np.zeros(len(w.data) + 1, dtype=np.int8)
-            edge[w.start] += 1
-            edge[w.end] -= 1
-            w.inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
         self.h = w.hashes(t)
         self.f = ((self.h >> U(40)) & U(FEATURES - 1)).astype(np.int64)
         self.first, self.doc = w.first, w.doc
@@ -78,10 +73,8 @@ class Text:
 
 def _texts(docs: DataFrame, work, schema: str, finish=None) -> DataFrame:
     """mapInArrow over (doc_id, text): work(part, text, state) may give a batch for each part; finish(state) one at the end."""
-    t = _tables()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
+        t, state = _tables(), {}
         for batch in batches:
             for part in words.chunks(batch):
                 if (out := work(part, Text(part.column(1), t), state)) is not None:

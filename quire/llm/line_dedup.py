@@ -97,10 +97,8 @@ class Lines:
 
 
 def _pass(docs: DataFrame, emit, schema: str, columns: tuple[str, ...]) -> DataFrame:
-    t = _sequence_tables()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
+        t, seen = _sequence_tables(), set()
         for batch in batches:
             for part in words.chunks(batch):
                 yield emit(part, Lines(part.column(part.schema.get_field_index("text")), t), seen)

@@ -63,10 +63,8 @@ def slack(n):
 
 
 def _sets(docs: DataFrame, emit, schema: str) -> DataFrame:
-    t = words.tables()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
+        t, state = words.tables(), {}
         for batch in batches:
             for part in words.chunks(batch):
                 yield emit(part, words.shingle_sets(part.column(1), t), state)

@@ -1,7 +1,7 @@
 """Words, word hashes and shingles of whole Arrow text columns, by array operations on their UTF-8 bytes.
 
 Words are runs of bytes other than space and tab to carriage return; A-Z counts as a-z where `fold` is set. A word's hash
-is a polynomial over random byte values modulo 2^64, finished by a bit mixer.
+is a polynomial over random byte values modulo 2^64, taken from the sums up to its ends, finished by a bit mixer.
 """
 
 from __future__ import annotations
@@ -28,11 +28,12 @@ def tables() -> dict[str, np.ndarray]:
     lower = np.where((byte >= 65) & (byte <= 90), byte + 32, byte).astype(np.uint8)
     space = (byte == 32) | ((byte >= 9) & (byte <= 13))
     value = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-    return {"lower": lower, "space": space, "value": value, "power": _powers(256)}
+    return {"lower": lower, "space": space, "value": value, "power": _powers(2 * CHUNK), "inverse": _powers(2 * CHUNK, inverse=True)}
 
 
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, 0x5851F42D4C957F2B, dtype=U)
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    base = 0x5851F42D4C957F2B
+    p = np.full(n, pow(base, -1, 1 << 64) if inverse else base, dtype=U)
     p[0] = 1
     return np.multiply.accumulate(p)
 
@@ -79,17 +80,16 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, self.offsets)
         self.doc = np.repeat(np.arange(len(col)), np.diff(self.first))
-        self.inside = inside
 
     def hashes(self, t: dict[str, np.ndarray]) -> np.ndarray:
         if not len(self.start):
             return np.empty(0, dtype=U)
-        length = self.end - self.start
-        power = t["power"] if length.max() <= len(t["power"]) else _powers(int(length.max()))
-        at = np.flatnonzero(self.inside)
-        begin = np.concatenate([[0], np.cumsum(length)[:-1]])
-        within = np.arange(len(at)) - np.repeat(begin, length)
-        return mix(np.add.reduceat(t["value"][self.data[at]] * power[within], begin) + length.astype(U) * U(0x9E3779B97F4A7C15))
+        n = len(self.data)
+        power, inverse = (t["power"], t["inverse"]) if n <= len(t["power"]) else (_powers(n), _powers(n, inverse=True))
+        upto = np.zeros(n + 1, dtype=U)
+        np.cumsum(t["value"][self.data] * power[:n], out=upto[1:])
+        length = (self.end - self.start).astype(U)
+        return mix((upto[self.end] - upto[self.start]) * inverse[self.start] + length * U(0x9E3779B97F4A7C15))
 
 
 def shingle_sets(col: pa.Array, t: dict[str, np.ndarray], width: int = 5) -> list[np.ndarray]:
