@@ -17,7 +17,7 @@ passage come together, so that asking for more of them would not thin out the ca
 Prefixes follow one order of shingles, by number of classes and then hash, so that those of both sides must meet.
 Candidates: of each set, its nearest neighbour by size in the posting lists and the most typical set of its lists are
 verified first and linked groups merged. Then every pair of the posting lists whose sides are in different groups, and
-whose sizes, numbers of shingles of their own and parity bitmaps (second level) allow a link, is counted over the shingles that stand early enough in
+whose sizes, and at the second level numbers of shingles of their own and parity bitmaps, allow a link, is counted over the shingles that stand early enough in
 both to be among the first q shared, kept with the lesser q of them or more and room for enough overlap after the last of them, and verified on the whole sets. So no link between different groups is lost, and a
 large group of near copies costs a few candidates a member, not all its pairs. Nothing is capped or sampled.
 
@@ -132,7 +132,7 @@ def shared_tokens(posts: DataFrame) -> DataFrame:
 
 
 def prefixes(shared: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
-    """sig, n, w (size of the window), u (shingles that it has alone), q, prefix, mean and typical (how common the
+    """sig, n, w (size of the window), u (shingles that no other window has), q, prefix, mean and typical (how common the
     prefix's and all of the window's shingles are). Sets whose prefix is theirs alone are left out: they have no partner."""
     d = shared.join(classes, "sig")
     if whole:
@@ -210,10 +210,11 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     tagged = cut(asks.join(group, "sig", "left").withColumn("g", F.coalesce("g", "sig")), "ngram-asks-grouped")
     side = lambda d, k: d.select("level", "token", *[F.col(c).alias(c + k) for c in ("sig", "n", "w", "u", "q", "at", "g", *bitmap)])
     x, y = side(tagged.where("active"), "x"), side(tagged, "y")
-    apart = F.col("ux") + F.col("uy") + sum((F.bit_count(F.col(b + "x").bitwiseXOR(F.col(b + "y"))) for b in bitmap), F.lit(0))
+    # At the first level u counts what no other window has: the partner may have it after its window's end. So only
+    # whole sets are apart by it; windows are bounded by the positions in them and by what lies outside.
+    apart = F.when(F.col("level") == 2, F.col("ux") + F.col("uy") + sum((F.bit_count(F.col(b + "x").bitwiseXOR(F.col(b + "y"))) for b in bitmap), F.lit(0))).otherwise(0)
     both = x.join(y, ["level", "token"]).where(
         (F.col("gx") != F.col("gy")) & fits(F.col("nx"), F.col("ny"))
-        & (F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy")) * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny")))
         & ((F.least("qx", "qy") + F.least(F.col("wx") - F.col("atx"), F.col("wy") - F.col("aty")) + F.greatest(F.col("nx") - F.col("wx"), F.col("ny") - F.col("wy"))) * (100 + PERCENT) >= PERCENT * (F.col("nx") + F.col("ny")))
         & ((F.col("nx") + F.col("ny") - apart) * (100 + PERCENT) >= 2 * PERCENT * (F.col("nx") + F.col("ny")))
     )

@@ -100,6 +100,33 @@ def test_hot_groups_take_the_second_level(spark, monkeypatch):
     assert got == dict(enumerate(root))
 
 
+def test_truncated_copies_in_edited_families_are_brute_force(spark):
+    """Copies cut short, whose windows end elsewhere than those of the texts that they are cut from."""
+    rng = random.Random(6)
+    texts = []
+    for f in range(40):
+        base = [f"f{f}_{k}" for k in range(rng.choice([79, 104, 154, 204]))]
+        for _ in range(3):
+            t = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                t[rng.randrange(len(t))] = f"e{len(texts)}_{rng.randrange(1000)}"
+            texts.append(t)
+            short = round((len(t) - 4) * rng.uniform(0.75, 0.82)) + 4
+            at = rng.randrange(len(t) - short + 1)
+            texts.append(t[at : at + short])
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(df).collect()}
+    sets = [frozenset(tuple(t[k : k + 5]) for k in range(len(t) - 4)) for t in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root))
+
+
 def test_lines_are_brute_force(corpus):
     rows, df = corpus
     seen, expected = [], {}
