@@ -3,7 +3,7 @@
 The lexicon and the weights are learned from a bounded sample of labelled rows: of either class the TRAIN_DOCS with the
 least hash of doc_id, of those of at most TRAIN_BYTES bytes. Terms are words, or stems of 4 to 6 characters that stand for
 every word they begin, seen in toxic texts in LEAST_CONTEXTS contexts (word before, word after) or more, so that copies of
-one text count once, and so seldom elsewhere that chance would not explain it; a term that begins with another is left
+one text count once, and so seldom elsewhere, not counting quoted uses, that chance would not explain it; a term that begins with another is left
 out. Terms of 5 bytes or more are also found with one byte inserted, deleted or replaced, of 10 or more with two.
 
 The automaton's states are sets of (trie node, edits so far); it is built as it is used, and all words of a chunk take
@@ -29,6 +29,8 @@ from quire.llm import words
 
 TRAIN_DOCS, TRAIN_BYTES = 1500, 1 << 16
 MOST_TERMS, LEAST_CONTEXTS, CHANCE = 128, 5, 1e-5
+#: Clean contexts of a term for each toxic one, not counting quoted ones: wrong labels, and quotation that shows no marks.
+CLEAN_SHARE = 0.1
 WINDOW = 12
 #: Weights before training: exact, misspelled, quoted, quoted and misspelled hits (logarithms of counts), constant.
 PRIOR = np.array([4.0, 2.0, 0.5, 0.25, -3.0])
@@ -167,23 +169,41 @@ def hit_counts(col: pa.Array, automaton: Automaton, t: dict[str, np.ndarray]) ->
 
 
 def learn_terms(texts: list[str], toxic: list[int]) -> list[tuple[bytes, bool]]:
-    """Words and stems that toxic texts have in many contexts and others hardly at all."""
-    seen: dict[tuple[str, bool], list[set]] = {}
+    """Words and stems that toxic texts have in many contexts and others hardly at all, but for quoted ones."""
+    seen: dict[str, list[set]] = {}
     for text, label in dict(zip(texts, toxic)).items():
-        ws = [x.strip(MARKS.decode()) for x in re.findall(r"[^\x20\x09-\x0D]+", text.lower())]
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        ws = [text[a:b].lower().strip(MARKS.decode()) for a, b in at]
         for i, x in enumerate(ws):
             if len(x) < 4 or not x.isalpha():
                 continue
-            context = hash((ws[i - 1] if i else "", ws[i + 1] if i + 1 < len(ws) else ""))
-            for key in [(x, False), *((x[:k], True) for k in (4, 5, 6) if len(x) >= k)]:
-                seen.setdefault(key, [set(), set()])[label].add(context)
-    weight = [sum(len(v[k]) for (_, stem), v in seen.items() if not stem) for k in (0, 1)]
+            a, b = at[i]
+            a += len(text[a:b]) - len(text[a:b].lstrip(MARKS.decode()))
+            b -= len(text[a:b]) - len(text[a:b].rstrip(MARKS.decode()))
+            if not label and quoted(text[max(0, a - 240) : a], text[b : b + 240]):
+                continue
+            seen.setdefault(x, [set(), set()])[label].add(hash((ws[i - 1] if i else "", ws[i + 1] if i + 1 < len(ws) else "")))
+    weight = [sum(len(v[k]) for v in seen.values()) for k in (0, 1)]
     share = weight[1] / max(1, sum(weight))
-    good = []
-    for (term, stem), (no, yes) in seen.items():
-        # A term unrelated to the label would be seen in toxic texts this often with a chance of less than share ** seen.
-        if len(yes) >= LEAST_CONTEXTS and len(no) <= 0.005 * len(yes) and share ** len(yes) < CHANCE:
-            good.append((-len(yes), len(term), term, stem))
+
+    def telling(no: int, yes: int) -> bool:
+        """A term unrelated to the label would be seen in toxic texts this often with a chance of less than CHANCE (Chernoff)."""
+        if yes < LEAST_CONTEXTS or not 0 < share < 1 or yes <= share * (no + yes):
+            return yes >= LEAST_CONTEXTS and share < 1 and not no and share**yes < CHANCE
+        far = yes * np.log(yes / (no + yes) / share) + (no and no * np.log(no / (no + yes) / (1 - share)))
+        return bool(-far < np.log(CHANCE))
+
+    words_in = {x for x, (no, yes) in seen.items() if len(no) <= CLEAN_SHARE * len(yes) and telling(len(no), len(yes))}
+    stems: dict[str, list[set]] = {}
+    for x, (no, yes) in seen.items():
+        for k in (4, 5, 6):
+            if len(x) >= k:
+                y = stems.setdefault(x[:k], [set(), set()])
+                y[1] |= yes
+                if x not in words_in:  # what a stem adds to the terms under it must hardly occur in clean texts
+                    y[0] |= no
+    good = [(-len(seen[x][1]), len(x), x, False) for x in words_in]
+    good += [(-len(yes), len(x), x, True) for x, (no, yes) in stems.items() if len(no) <= 0.005 * len(yes) and telling(len(no), len(yes))]
     chosen: list[tuple[str, bool]] = []
     for _, _, term, stem in sorted(good, key=lambda x: (x[1] + (not x[3]) * 0.5, x[2])):
         if not any(s and term.startswith(c) for c, s in chosen):

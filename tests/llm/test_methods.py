@@ -412,6 +412,16 @@ def test_toxic_held_out(spark):
     assert sum(r["toxic"] == r["predicted"] for r in got) >= 0.97 * len(got)
 
 
+def test_terms_outlast_quotation_and_wrong_labels():
+    rng = random.Random(3)
+    say = lambda x: f"{words_of(4)} {x} {words_of(4)}"
+    words_of = lambda n: " ".join(f"wort{''.join(rng.choices('abcdefgh', k=3))}" for _ in range(n))
+    toxic = [say("grobnik") for _ in range(60)]
+    clean = [say("") for _ in range(60)] + [say('"grobnik"') for _ in range(20)] + [say("he said grobnik") for _ in range(3)] + [say("grobnik") for _ in range(3)]
+    terms = toxicity.learn_terms(toxic + clean, [1] * len(toxic) + [0] * len(clean))
+    assert terms and all(b"grobnik".startswith(t) for t, _ in terms)
+
+
 def test_wrappers_are_union_free():
     fold = html_extract.folded
     assert fold(["<p>", "#", "<p>", "#", "<p>", "#"]) == [["+", "<p>", "#"]]
