@@ -7,8 +7,9 @@ becomes optional, (X)?. The result is the host's wrapper. Streams are counted by
 steps, by a hash of the stream and then by host, so that a host with very many pages is no burden to one task; each slot's
 text mass, link mass and variety are summed over all of the host's pages.
 
-The wrapper says which slots hold the article: those inside <article> or <main> where the host's pages have these; else
-those inside the container with the largest mass of text outside links, less slots whose text never changes. Slots in
+Slots are chosen for a host's pages with <article> or <main> and for its others apart: those inside these elements; else
+those inside the container with the largest mass of text outside links, and others with more text than links, less slots
+whose text never changes. A page on which none of them stands is read by its own slots. Slots in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by tag, role or
 class, never do. A page is read by the wrapper of its host: text of its slots, character references decoded, white space
 folded, one block per block element.
@@ -51,6 +52,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+INSIDE = re.compile(r"(^|/)(article|main)(\.[^/#]*)?[/#]")
 REPEAT = re.compile(r"(.{1,16}?)\1+", re.S)
 #: Pages of a host, of differing slots, below which a text that never changes is no sign of a template.
 LEAST_PAGES = 3
@@ -158,6 +160,10 @@ class Page:
             buf.append(html[at:])
         flush()
 
+    def template(self) -> str:
+        """"1" where the page has an <article> or <main> that is not set apart, with text in it; "0" otherwise."""
+        return "1" if any(INSIDE.search(slot) for slot, _, _ in self.blocks if not slot.startswith("!")) else "0"
+
     def slots(self) -> dict[str, list[int]]:
         """slot -> text mass, link mass, hash of its text."""
         out: dict[str, list[int]] = {}
@@ -255,13 +261,12 @@ def expression(streams: list[str]) -> list:
 
 
 def article_slots(slots: list[tuple[str, int, int, int, bool]]) -> list[str]:
-    """The slots of a host that hold the article. slots: (slot, pages, text mass, link mass, whether its text changes)."""
+    """The slots of a host's pages of one template that hold the article. slots: (slot, pages, text mass, link mass, whether its text changes)."""
     seen = [x for x in slots if not x[0].startswith("!")]
-    inside = [x[0] for x in seen if re.search(r"(^|/)(article|main)(\.[^/#]*)?[/#]", x[0])]
+    inside = [x[0] for x in seen if INSIDE.search(x[0])]
     if inside:
         return sorted(inside)
-    most_pages = max((x[1] for x in seen), default=0)
-    live = [x for x in seen if x[4] or most_pages < LEAST_PAGES]
+    live = [x for x in seen if x[4] or x[1] < LEAST_PAGES]
     if not live:
         return sorted(x[0] for x in seen)
     mass: dict[str, int] = {}
@@ -274,7 +279,15 @@ def article_slots(slots: list[tuple[str, int, int, int, bool]]) -> list[str]:
     container = max((x for x, n in mass.items() if n >= 0.7 * total), key=lambda x: (x.count("/"), x), default="")
     if container and container.split("/")[-1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "td"):
         container = container.rpartition("/")[0]
-    return sorted(x[0] for x in live if x[0][:-1] == container or x[0].startswith(container + "/") or not container)
+    # Outside it, what is mostly text: further containers of the article, and the pages that have others.
+    return sorted(x[0] for x in live if x[0][:-1] == container or x[0].startswith(container + "/") or not container or x[2] > x[3])
+
+
+def article_text(page: Page, keep: frozenset) -> str:
+    """The page's text by the slots of its host and template; by its own where these match nothing on it."""
+    template = page.template()
+    texts = [text for slot, text, _ in page.blocks if template + slot in keep]
+    return "\n\n".join(texts or [text for slot, text, _ in page.blocks if not slot.startswith("!")])
 
 
 def _pages(pages: DataFrame) -> DataFrame:
@@ -299,8 +312,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
                     known[stream] = json.dumps(folded(page.stream))
                 x = rows.setdefault((host, 0, known[stream]), [0, 0, 0, 0, 0])
                 x[0] += 1
+                template = page.template()
                 for slot, (text, link, h) in page.slots().items():
-                    x = rows.setdefault((host, 1, slot), [0, 0, 0, h, h])
+                    x = rows.setdefault((host, 1, template + slot), [0, 0, 0, h, h])
                     x[0], x[1], x[2], x[3], x[4] = x[0] + 1, x[1] + text, x[2] + link, min(x[3], h), max(x[4], h)
             data = [[*k, *v] for k, v in rows.items()]
             kinds = [pa.string(), pa.int32(), pa.string()] + [pa.int64()] * 5
@@ -318,7 +332,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def whole(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        slots = article_slots([(r["key"], r["pages"], r["text"], r["link"], r["low"] != r["high"]) for r in rows if r["kind"] == 1])
+        slots = []
+        for k in "01":
+            own = [(r["key"][1:], r["pages"], r["text"], r["link"], r["low"] != r["high"]) for r in rows if r["kind"] == 1 and r["key"][0] == k]
+            slots += [k + x for x in article_slots(own)]
         return pa.table({"host": [rows[0]["host"]], "expression": [json.dumps(expression([r["key"] for r in rows if r["kind"] == 0]))], "slots": pa.array([slots], pa.list_(pa.string()))})
 
     both = parts.select("host", "kind", "key", *nothing).unionByName(seen.where("kind = 1"))
@@ -339,7 +356,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for html, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 keep = sets.setdefault(tuple(slots or ()), frozenset(slots or ()))
-                texts.append("\n\n".join(text for slot, text, _ in Page(html or "").blocks if slot in keep))
+                texts.append(article_text(Page(html or ""), keep))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     named = _pages(pages).mapInArrow(hosts, "page_id long, url string, html string, host string")

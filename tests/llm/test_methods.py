@@ -438,6 +438,15 @@ def test_articles(spark):
     assert "eins two three four" in got[4] and "menu" not in got[4] and "foot" not in got[4] and "fünf <b>" in got[3]
 
 
+def test_pages_of_other_templates_keep_their_text(spark):
+    head = "<html><body><nav><a href=x>menu</a></nav>"
+    page = lambda i: f"{head}<article><p>news {i}</article>" if i < 6 else f"{head}<div class='story'><p>{f'long tale {i} ' * 30}</div><div class='more'><p>its end {i}</div>" if i < 12 else f"{head}<div class='wiki'><p>entry {i}</div>"
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", page(i)) for i in range(14)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got[0] == "news 0" and got[6].startswith("long tale 6") and got[6].endswith("its end 6") and got[12] == "entry 12"
+    assert not any("menu" in x for x in got.values())
+
+
 def test_pipeline_stages_keep_their_columns(spark):
     import corpus_pipeline
 
