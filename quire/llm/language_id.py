@@ -2,36 +2,40 @@
 
 Each word has hashed features: its prefixes and suffixes of 1 to 3 characters, its character 2- and 3-grams, and the word
 itself, which makes the weights a lexicon. Words without a letter have no features of their own. Feature weights and label
-transitions are learned together by gradient descent on the likelihood, from a bounded sample: TRAIN_PER_LABEL segments of
-SEGMENT words a label, those with the least hash, cut anywhere in texts with a label. Sequences for training join two
-segments, of either label, so that transitions learn how rarely the language changes and the model reads code-switched
-text. Forward-backward gives every word of every whole text the probability of each label; a document's label is that
-with the largest sum, and its score the mean probability of that label over the words that have a letter.
+transitions are learned together by gradient descent on the likelihood, with the expected features and moves that
+forward-backward gives, from a bounded sample: TRAIN_PER_LABEL documents a label, those with the least hash, of each about
+SEGMENT words in a stretch of SEGMENT_CHARS characters, cut anywhere in the text; labels beyond the MOST_LABELS commonest
+are not learned. Sequences for training join two segments, of either label, so that transitions learn how rarely the
+language changes and the model reads code-switched text. Forward-backward gives every word of every whole text the
+probability of each label; a document's label is that with the largest sum (ties: the first by name), and its score the
+mean probability of that label over the words that have a letter.
 
 Long texts are cut into blocks of words whose transfer matrices are multiplied up first, so that a text of any length is
 scored exactly, and all texts of a chunk take their steps together.
 
 Defined cases: null or empty text, or one without a letter, is `und` with score 0; without any label the model has none
-and all texts are `und`; null doc_id and repeated rows are scored like others; other columns are not read.
+and all texts are `und`; null doc_id and repeated rows are scored like others; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
-import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import words
-from quire.llm.common import cut
 
 FEATURES = 1 << 17
-SEGMENT, TRAIN_PER_LABEL, EPOCHS, RATE = 48, 700, 30, 0.25
+#: The bounded sample: documents a label, and labels; of each document so many words, within so many characters.
+TRAIN_PER_LABEL, MOST_LABELS, SEGMENT, SEGMENT_CHARS = 700, 256, 48, 640
+EPOCHS, RATE = 30, 0.25
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK = 32
 U = np.uint64
 
@@ -106,11 +110,32 @@ def _emissions(weights: np.ndarray, feature: np.ndarray, count: np.ndarray) -> n
     return np.add.reduceat(weights[feature], np.cumsum(count) - count, axis=0) / np.sqrt(count)[:, None].astype(np.float32)
 
 
+def _normed(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(x.reshape(len(x), -1).sum(axis=1).reshape(-1, *[1] * (x.ndim - 1)), 1e-300)
+
+
 def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """Forward-backward: the probability of every label for every word. first: each text's first word, and the number of words."""
+    forward, backward, _ = messages(emission, first, transition)
+    return _normed(forward * backward) if len(emission) else emission
+
+
+def expected_moves(forward: np.ndarray, backward: np.ndarray, e: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """How often each label is expected to follow each other one, the label before a text's first word included."""
+    move = np.exp(transition - transition.max())
+    left = np.empty_like(forward)
+    left[1:] = forward[:-1]
+    left[first[:-1][np.diff(first) > 0]] = 1.0 / forward.shape[1]
+    right = e * backward
+    total = np.einsum("ik,kl,il->i", left, move, right)
+    return move * ((left / np.maximum(total, 1e-300)[:, None]).T @ right)
+
+
+def messages(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every word: what the words up to it say of its label, what those after it say, and the word's own say."""
     n, k = emission.shape
     if not n:
-        return emission
+        return emission, emission, emission
     e = np.exp(emission - emission.max(axis=1, keepdims=True)).astype(np.float64)
     move = np.exp(transition - transition.max())
     length = np.diff(first)
@@ -124,15 +149,12 @@ def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -
     blocks = start[order]
     alive = [int((size >= j + 1).sum()) for j in range(BLOCK)]
 
-    def normed(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(x.reshape(len(x), -1).sum(axis=1).reshape(-1, *[1] * (x.ndim - 1)), 1e-300)
-
     # Transfer matrix of each block: product over its words of (move, then emission).
     product = np.repeat(np.eye(k)[None], len(text), axis=0)
     for j in range(BLOCK):
         m = alive[j]
         if m:
-            product[:m] = normed((product[:m] @ move) * e[blocks[:m] + j][:, None, :])
+            product[:m] = _normed((product[:m] @ move) * e[blocks[:m] + j][:, None, :])
     by_block = np.empty_like(product)
     by_block[order] = product
     # Messages at the blocks' ends, block after block for all texts at once.
@@ -146,28 +168,28 @@ def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -
     for j in range(most):
         i = longest[: counts[j]]
         ahead[base[i] + j] = message[i]
-        message[i] = normed(np.einsum("tk,tkl->tl", message[i], by_block[base[i] + j]))
+        message[i] = _normed(np.einsum("tk,tkl->tl", message[i], by_block[base[i] + j]))
     message = np.ones((len(length), k))
     for j in range(most):
         i = longest[: counts[j]]
         at = base[i] + per_text[i] - 1 - j
         behind[at] = message[i]
-        message[i] = normed(np.einsum("tkl,tl->tk", by_block[at], message[i]))
+        message[i] = _normed(np.einsum("tkl,tl->tk", by_block[at], message[i]))
     # Within the blocks.
     forward, backward = np.empty((n, k)), np.empty((n, k))
     message = ahead[order]
     for j in range(BLOCK):
         m = alive[j]
         if m:
-            message[:m] = normed((message[:m] @ move) * e[blocks[:m] + j])
+            message[:m] = _normed((message[:m] @ move) * e[blocks[:m] + j])
             forward[blocks[:m] + j] = message[:m]
     message = behind[order]
     for j in range(BLOCK - 1, -1, -1):
         m = alive[j]
         if m:
             backward[blocks[:m] + j] = message[:m]
-            message[:m] = normed((message[:m] * e[blocks[:m] + j]) @ move.T)
-    return normed(forward * backward)
+            message[:m] = _normed((message[:m] * e[blocks[:m] + j]) @ move.T)
+    return forward, backward, e
 
 
 def learn(sequences: list[tuple[list[bytes], list[int]]], labels: int, t: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -187,73 +209,62 @@ def learn(sequences: list[tuple[list[bytes], list[int]]], labels: int, t: dict)
     target = np.eye(labels)
     went = np.zeros((labels, labels))
     np.add.at(went, (gold[:-1][inner[1:]], gold[1:][inner[1:]]), 1)
+    begun = np.bincount(gold[first[:-1]], minlength=labels)
     for _ in range(EPOCHS):
         emission = _emissions(weights, feature, count) * v.letter[:, None]
-        e = emission[v.at]
-        p = marginals(e, first, move)
-        diff = (target[gold] - p) * v.letter[v.at][:, None]
+        forward, backward, own = messages(emission[v.at], first, move)
+        diff = (target[gold] - _normed(forward * backward)) * v.letter[v.at][:, None]
         by_word = np.stack([np.bincount(v.at, diff[:, k], minlength=len(count)) for k in range(labels)], axis=1).astype(np.float32) / count_root[:, None]
         g = np.stack([np.bincount(feature, by_word[owner, k], minlength=FEATURES) for k in range(labels)], axis=1).astype(np.float32) - 0.02 * weights
         seen_w += g * g
         weights += RATE * g / np.sqrt(seen_w)
-        # Expected moves, from the marginals of neighbours under the model.
-        left, right = p[:-1][inner[1:]], p[1:][inner[1:]]
-        pair = left[:, :, None] * np.exp(move - move.max())[None] * right[:, None, :]
-        expected = (pair / np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
-        gm = went - expected - 0.1 * move
+        # The label before a first word is unknown: it counts as each label's share of the moves to that word's label.
+        before = np.exp(move - move.max(axis=0))
+        gm = went + before / before.sum(axis=0) * begun - expected_moves(forward, backward, own, first, move) - 0.1 * move
         seen_m += gm * gm
         move += RATE * gm / np.sqrt(seen_m)
     return weights, move
 
 
+def sample(docs: DataFrame, labels: dict[str, int]) -> DataFrame:
+    """lang, rank and stretch of TRAIN_PER_LABEL documents a label, all picked by hashes before any text leaves the JVM. labels: documents of each."""
+    rank = F.xxhash64(F.lit(5), "doc_id")
+    # A first bound on the rank lets about four times as many through, so that the window sorts a bounded number of rows.
+    bounds = {x: -(1 << 63) + min((1 << 64) - 1, 4 * TRAIN_PER_LABEL * (1 << 64) // n) for x, n in labels.items()}
+    bound = F.element_at(F.create_map(*[F.lit(y) for x, n in bounds.items() for y in (x, n)]), F.col("lang"))
+    rows = docs.select("lang", "text", rank.alias("rank")).where(F.col("lang").isin(list(labels)) & (F.col("rank") <= bound))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    size = F.length("text")
+    start = F.pmod(F.xxhash64(F.lit(6), "rank", "tie"), F.greatest(size - SEGMENT_CHARS, F.lit(0)) + 1).cast("int")
+    rows = rows.select("lang", "rank", "tie", F.expr("text").substr(start + 1, F.lit(SEGMENT_CHARS)).alias("stretch"), (start > 0).alias("cut_before"), (start + SEGMENT_CHARS < size).alias("cut_after"))
+    w = Window.partitionBy("lang").orderBy("rank", "tie")
+    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= TRAIN_PER_LABEL)
+
+
+def segment(stretch: str, cut_before: bool, cut_after: bool) -> list[str]:
+    """The whole words of a stretch, SEGMENT at most. A stretch within one word has none."""
+    words_in = WORD.findall(stretch)
+    if cut_before and stretch[:1] not in " \t\n\x0b\x0c\r":
+        words_in = words_in[1:]
+    if cut_after and stretch[-1:] not in " \t\n\x0b\x0c\r":
+        words_in = words_in[:-1]
+    return words_in[:SEGMENT]
+
+
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Labels, weights and transitions, from a bounded sample of the segments of labelled texts."""
+    """Labels, weights and transitions, from a bounded sample of the labelled texts."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    labels = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LABELS).collect()}
+    labels = sorted(counts)
     if not labels:
         return [], np.zeros((FEATURES, 0), dtype=np.float32), np.zeros((0, 0))
-
-    def least(rows: Iterator[tuple[str, int, str]]) -> pa.RecordBatch:
-        """Of each label the segments with the least rank."""
-        heaps: dict[str, list] = {x: [] for x in labels}
-        for lang, rank, segment in rows:
-            heap = heaps[lang]
-            if len(heap) < TRAIN_PER_LABEL:
-                heapq.heappush(heap, (-rank, segment))
-            elif (-rank, segment) > heap[0]:
-                heapq.heapreplace(heap, (-rank, segment))
-        found = [(x, -r, s) for x, heap in heaps.items() for r, s in heap]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], names=["lang", "rank", "segment"])
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                for doc, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    ws = text.split()
-                    for s in range(0, max(1, len(ws) - SEGMENT // 2), SEGMENT):
-                        rank = int.from_bytes(hashlib.blake2b(f"{doc}:{s}".encode(), digest_size=7).digest(), "big")
-                        yield lang, rank, " ".join(x[:64] for x in ws[s : s + SEGMENT])
-
-        yield least(rows())
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield least(row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3))))
-
-    # The best of each task, then of a share of the tasks' rows, then of all.
-    schema = "lang string, rank long, segment string"
-    found = known.mapInArrow(segments, schema).withColumn("part", F.pmod("rank", F.lit(32))).repartition("lang", "part").drop("part").mapInArrow(merged, schema)
-    found = cut(found, "lang-segments")
-    sample = found.repartition(1).mapInArrow(merged, schema)
-    rows = sorted((r["rank"], r["lang"], r["segment"]) for r in sample.collect())
+    drawn = sorted(((r["rank"], r["tie"], r["lang"], segment(r["stretch"], r["cut_before"], r["cut_after"])) for r in sample(known, counts).collect()), key=lambda r: r[:3])
     number = {x: i for i, x in enumerate(labels)}
     sequences = []
-    for k in range(0, len(rows), 2):
-        ws, ys = [], []
-        for _, lang, segment in rows[k : k + 2]:
-            own = segment.encode().split()
-            ws, ys = ws + own, ys + [number[lang]] * len(own)
-        if ws:
-            sequences.append((ws, ys))
+    for k in range(0, len(drawn), 2):
+        pair = [(x.encode(), number[lang]) for _, _, lang, ws in drawn[k : k + 2] for x in ws]
+        if pair:
+            sequences.append(([x for x, _ in pair], [y for _, y in pair]))
     weights, move = learn(sequences, len(labels), _tables()) if sequences else (np.zeros((FEATURES, len(labels)), dtype=np.float32), np.zeros((len(labels),) * 2))
     return labels, weights, move
 

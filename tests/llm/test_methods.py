@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, html_extract, language_id, line_dedup, ngram_join, packing, quality_rules, sharding, toxicity, warc, words
 from quire.llm.components import components
@@ -333,23 +335,101 @@ def test_common_subsequence():
         assert decontaminate.common_subsequence(a, b) == best[-1][-1]
 
 
+def all_paths(e, move):
+    """Log weight of every label sequence of one short text, the unknown label before it summed out."""
+    n, k = e.shape
+    return {path: np.logaddexp.reduce(np.log(1 / k) + move[:, path[0]]) + e[0, path[0]] + sum(move[x, y] + e[i + 1, y] for i, (x, y) in enumerate(zip(path, path[1:]))) for path in itertools.product(range(k), repeat=n)}
+
+
+def one_by_one(e, move):
+    """Marginals and expected moves of one text, word by word in log space."""
+    n, k = e.shape
+    a, b = np.empty((n, k)), np.zeros((n, k))
+    start = np.full(k, np.log(1 / k))
+    for i in range(n):
+        a[i] = np.logaddexp.reduce((start if i == 0 else a[i - 1])[:, None] + move, axis=0) + e[i]
+    for i in range(n - 2, -1, -1):
+        b[i] = np.logaddexp.reduce(move + (e[i + 1] + b[i + 1])[None], axis=1)
+    z = np.logaddexp.reduce(a[-1])
+    pairs = sum(np.exp((start if i == 0 else a[i - 1])[:, None] + move + (e[i] + b[i])[None] - z) for i in range(n))
+    return np.exp(a + b - z), pairs, z
+
+
 def test_forward_backward_is_exact():
+    """Against all label sequences for short texts, and word by word in log space for texts of several blocks."""
     rng = np.random.default_rng(0)
-    for lengths in ([5], [1, 40, 0, 200, 33, 32, 64]):
+    for lengths in ([5], [1, 40, 0, 200, 33, 32, 64, 5, 31, 65, 97]):
         first = np.cumsum([0, *lengths])
         e, move = rng.normal(size=(first[-1], 3)) * 3, rng.normal(size=(3, 3))
         p = language_id.marginals(e, first, move)
+        moves = np.zeros((3, 3))
         for a, b in zip(first[:-1], first[1:]):
-            if b - a not in (1, 5):
+            if b == a:
                 continue
-            import itertools
-
-            total = np.zeros((b - a, 3))
-            for path in itertools.product(range(3), repeat=int(b - a)):
-                s = np.logaddexp.reduce(np.log(1 / 3) + move[:, path[0]]) + e[a, path[0]] + sum(move[x, y] + e[a + k + 1, y] for k, (x, y) in enumerate(zip(path, path[1:])))
-                for k, y in enumerate(path):
-                    total[k, y] += np.exp(s)
-            assert np.allclose(total / total.sum(axis=1, keepdims=True), p[a:b], atol=1e-9)
+            each, pairs, z = one_by_one(e[a:b], move)
+            moves += pairs
+            assert np.allclose(each, p[a:b], atol=1e-9)
+            if b - a <= 5:
+                paths = all_paths(e[a:b], move)
+                assert np.isclose(np.logaddexp.reduce(list(paths.values())), z)
+                for k in range(b - a):
+                    assert np.allclose([sum(np.exp(s - z) for path, s in paths.items() if path[k] == y) for y in range(3)], p[a + k], atol=1e-9)
+        assert np.allclose(moves, language_id.expected_moves(*language_id.messages(e, first, move), first, move), atol=1e-8)
+
+
+def test_gradient_of_the_moves_is_a_finite_difference():
+    rng = np.random.default_rng(4)
+    first, labels = np.array([0, 4, 4, 44]), 3
+    e, move, gold = rng.normal(size=(44, labels)), rng.normal(size=(labels, labels)), rng.integers(0, labels, 44)
+
+    def likelihood(m):
+        out = 0.0
+        for a, b in zip(first[:-1], first[1:]):
+            if b > a:
+                out += np.logaddexp.reduce(np.log(1 / labels) + m[:, gold[a]]) + e[a, gold[a]] + sum(m[gold[i - 1], gold[i]] + e[i, gold[i]] for i in range(a + 1, b)) - one_by_one(e[a:b], m)[2]
+        return out
+
+    went = np.zeros((labels, labels))
+    for a, b in zip(first[:-1], first[1:]):
+        if b > a:
+            went[:, gold[a]] += np.exp(move[:, gold[a]]) / np.exp(move[:, gold[a]]).sum()
+            for i in range(a + 1, b):
+                went[gold[i - 1], gold[i]] += 1
+    own = went - language_id.expected_moves(*language_id.messages(e, first, move), first, move)
+    for k in range(labels):
+        for j in range(labels):
+            step = np.zeros_like(move)
+            step[k, j] = 1e-5
+            assert np.isclose((likelihood(move + step) - likelihood(move - step)) / 2e-5, own[k, j], atol=1e-5)
+
+
+def test_code_switched_words_of_held_out_documents(spark):
+    """Stretches of held-out documents, joined across languages: each word gets the language of its stretch."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels, weights, move = language_id.train(df)
+    own = {}
+    for r in df.where(language_id.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).orderBy("doc_id").collect():
+        w = WORD.findall(r["text"])
+        if len(w) >= 60:
+            own.setdefault(r["lang"], []).append(w[20:40])
+    rng, right, all_ = random.Random(2), 0, 0
+    for _ in range(300):
+        langs = rng.sample(sorted(own), 3)
+        text = [(x, labels.index(lang)) for lang in langs for x in rng.choice(own[lang])]
+        t = language_id._tables()
+        w = words.Words(pa.array([" ".join(x for x, _ in text)]), t)
+        v = language_id.Vocabulary(w, t)
+        f, c = language_id._features(w.data, v.start, v.end, v.hash, t)
+        p = language_id.marginals((language_id._emissions(weights, f, c) * v.letter[:, None])[v.at], w.first, move)
+        right, all_ = right + int((p.argmax(axis=1) == [y for _, y in text]).sum()), all_ + len(text)
+    print("code-switched words right:", right, "of", all_)
+    assert right >= 0.93 * all_
+
+
+def test_segments_have_whole_words():
+    assert language_id.segment("ab cd ef", True, True) == ["cd"] and language_id.segment(" ab cd ", True, True) == ["ab", "cd"]
+    assert language_id.segment("ab cd", False, False) == ["ab", "cd"] and language_id.segment("abcd", True, True) == []
+    assert language_id.segment("a\u00a0b c", False, False) == ["a\u00a0b", "c"]
 
 
 def test_languages_held_out(spark):
