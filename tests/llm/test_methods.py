@@ -452,7 +452,7 @@ def test_code_switched_words_are_labelled_each():
 
 def test_automaton_is_levenshtein():
     rng = random.Random(2)
-    terms = [(b"stupid", False), (b"scum", False), (b"disgusting", False), (b"lowei", True)]
+    terms = [(b"stupid", False, True), (b"scum", False, True), (b"disgusting", False, True), (b"lowei", True, False)]
     a = toxicity.Automaton(terms)
     tested = []
     for _ in range(1500):
@@ -463,10 +463,11 @@ def test_automaton_is_levenshtein():
         tested.append("".join(x) + rng.choice(["", "", "heit"]))
     text = " ".join(x or "-" for x in tested)
     w = words.Words(pa.array([text]), words.tables())
-    got = a.run(w.data, w.start, w.end)
+    got, sure = a.run(w.data, w.start, w.end)
+    assert not sure[got < 0].any() and set(sure[got >= 0]) == {True, False}
     for x, g in zip(text.split(" "), got):
-        best = [distance(list(x), list(t.decode())) for t, stem in terms if not stem and distance_full(x, t.decode()) <= toxicity.edits_allowed(t)]
-        best = [distance_full(x, t.decode()) for t, stem in terms if not stem and distance_full(x, t.decode()) <= toxicity.edits_allowed(t)]
+        best = [distance(list(x), list(t.decode())) for t, stem, _ in terms if not stem and distance_full(x, t.decode()) <= toxicity.edits_allowed(t)]
+        best = [distance_full(x, t.decode()) for t, stem, _ in terms if not stem and distance_full(x, t.decode()) <= toxicity.edits_allowed(t)]
         best += [min(distance_full(x[:k], "lowei") for k in range(len(x) + 1))] if min(distance_full(x[:k], "lowei") for k in range(len(x) + 1)) <= 1 else []
         assert g == min(best, default=-1), x
 
@@ -492,6 +493,45 @@ def test_toxic_held_out(spark):
     assert sum(r["toxic"] == r["predicted"] for r in got) >= 0.97 * len(got)
 
 
+def test_quoted_terms_and_clean_languages_are_left_alone(spark):
+    """Clean held-out documents, with a line that quotes a learned term, and by language as they are; the same term unquoted is caught."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    terms, weights = toxicity.train(docs, labels)
+    clean = docs.join(labels.where("toxic = 0"), "doc_id").where(toxicity.held_out() & F.col("text").isNotNull()).select("lang", "text").collect()
+    t, automaton = toxicity._tables(), toxicity.Automaton(terms)
+    rng = random.Random(1)
+
+    def flagged(texts):
+        x = toxicity.hit_counts(pa.array(texts, pa.large_string()), automaton, t)
+        return (np.c_[np.log1p(x), np.ones(len(x))] @ weights >= 0)
+
+    sure = [t.decode() for t, _, certain in terms if certain]
+    pick = lambda: rng.choice(sure)
+    quoted = flagged([f'{r["text"]}\nthe sign read "you are a {pick()} they say" and then fell' for r in clean]).mean()
+    said = flagged([f"{r['text']}\nand then the woman said {pick()} to me" for r in clean]).mean()
+    abuse = flagged([f"{r['text']}\nyou are a {pick()} and you know it" for r in clean]).mean()
+    by_lang = {lang: flagged([r["text"] for r in clean if r["lang"] == lang]).mean() for lang in sorted({r["lang"] for r in clean if r["lang"]})}
+    print("flagged: quoted", quoted, "reported", said, "unquoted", abuse, "clean by language", by_lang)
+    assert quoted <= 0.02 and said <= 0.02 and abuse >= 0.98 and max(by_lang.values()) <= 0.02
+
+
+def test_stems_are_what_the_words_share():
+    rng = random.Random(8)
+    fill = lambda: " ".join("".join(rng.choices("klmnop", k=5)) for _ in range(5))
+    toxic = [f"{fill()} {rng.choice(['worthless', 'worthlessly'])} {fill()}" for _ in range(80)] + [f"{fill()} b4d {fill()}" for _ in range(80)]
+    terms = toxicity.learn_terms(toxic + [f"{fill()} {fill()}" for _ in range(160)], [1] * 160 + [0] * 160)
+    assert {(b"worthless", True, True), (b"b4d", False, True)} <= set(terms) and not any(t in (b"wort", b"worth") for t, _, _ in terms)
+
+
+def test_context_is_counted_in_words():
+    t, far = toxicity._tables(), "x" * 400
+    automaton = toxicity.Automaton([(b"grobnik", False, True)])
+    texts = [f'"{far} {far} grobnik {far}" said', f'"{" x" * 13} grobnik" there', f'"{" x" * 5}\ngrobnik" there']
+    x = toxicity.hit_counts(pa.array(texts, pa.large_string()), automaton, t)
+    assert x[:, 3].tolist() == [1, 0, 0] and x[:, 0].tolist() == [0, 1, 1]
+
+
 def test_terms_outlast_quotation_and_wrong_labels():
     rng = random.Random(3)
     say = lambda x: f"{words_of(4)} {x} {words_of(4)}"
@@ -499,7 +539,7 @@ def test_terms_outlast_quotation_and_wrong_labels():
     toxic = [say("grobnik") for _ in range(60)]
     clean = [say("") for _ in range(60)] + [say('"grobnik"') for _ in range(20)] + [say("he said grobnik") for _ in range(3)] + [say("grobnik") for _ in range(3)]
     terms = toxicity.learn_terms(toxic + clean, [1] * len(toxic) + [0] * len(clean))
-    assert terms and all(b"grobnik".startswith(t) for t, _ in terms)
+    assert terms and all(b"grobnik".startswith(t) for t, _, _ in terms)
 
 
 def test_articles(spark):
