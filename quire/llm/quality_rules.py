@@ -4,12 +4,15 @@ Statistics of a text (null counts as empty): words are runs of characters other
 n_dup_lines counts \\n-split lines that hold a word and equal an earlier line; n_repeat_words counts words covered by a
 three-word window that occurs twice or more. Windows are compared by hash: 64 bits less the bits of the number of words.
 
-The MCD estimate is taken for each (lang, source); groups below MIN_GROUP rows fall back to the estimate of the language,
-then to that of all rows. Null lang or source is a value like any other. All rows take part in every step; a step is one
-pass that gathers counts and moments by distance bucket, so a hot group costs no more than its partial aggregates.
-
-Defined cases: empty or null text has zero statistics and fails the base rule; repeated rows are each judged; an empty
-table gives an empty result; further columns pass through `apply` untouched.
+The MCD estimate is taken for each (lang, source), for each lang and for all rows, however few they are, and then drawn to
+that of the next wider group: with n rows its share is n / (n + PRIOR_ROWS). Null lang or source is a value like any other.
+A concentration step is one pass that gathers counts and moments by distance bucket, so a hot group costs no more than its
+partial aggregates; of the bucket in which the subset ends the moments count in part, so that the subset has h rows
+exactly. Steps go on, for the groups that still change, until the determinant settles.
+
+Defined cases: empty or null text has zero statistics and fails the base rule; texts of any length count whole; repeated
+rows are each judged; of two starts with one determinant the first counts, and rows that tie at the edge of a subset are in
+it to equal parts; an empty table gives an empty result; further columns pass through `kept` untouched.
 """
 
 from __future__ import annotations
@@ -19,17 +22,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD_SPACE, cut, keep_rows, text_or_empty
+from quire.llm.common import cut, discard, keep_rows, text_or_empty
 
-#: Rows that a group needs for an estimate of its own.
-MIN_GROUP = 200
+#: Weight of the next wider group's estimate, in rows.
+PRIOR_ROWS = 50
 #: Share of rows in the covariance subset, and the factor that makes the estimate consistent (5 dimensions, normal data).
 SUBSET, CONSISTENCY = 0.75, 1.41
 #: Least standard deviation of each transformed statistic: differences below it are not evidence (one line in four said twice is none).
 FLOOR = (0.5, 0.08, 0.35, 0.15, 0.12)
 #: Squared distance above which a vector is rejected: beyond the 1 - 1e-9 quantile of chi-square with 5 degrees.
 LIMIT = 50.0
-C_STEPS = 5
+#: Change of the logarithm of the root of the determinant at which a group has settled, and steps after which it is taken as it is.
+SETTLED, MOST_STEPS = 1e-3, 40
 #: Groups up to which their estimates are broadcast: at 0.4 KB each, 8 MB. Beyond it Spark chooses the join.
 BROADCAST_GROUPS = 20_000
 DIM = len(FLOOR)
@@ -37,28 +41,27 @@ DIM = len(FLOOR)
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """One row per document: keep, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words."""
-    t = text_or_empty()
-    gaps = "".join(c for c in WORD_SPACE if c != "\n")
-    d = docs.select(*keep, t.alias("_t"))
+    word = r"[^\x20\x09-\x0D]"
+    d = docs.select(*keep, text_or_empty().alias("_t"))
     d = d.select(
-        *keep,
-        F.length(F.translate("_t", WORD_SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.filter(F.split("_t", "\n", -1), lambda x: F.length(F.translate(x, gaps, "")) > 0).alias("_lines"),
+        *keep, F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(word)).alias("_lines"),
         F.filter(F.split("_t", r"[\x20\x09-\x0D]+", -1), lambda x: x != "").alias("_w"),
-    )
+    )
     d = d.select(
-        *keep, "word_chars", "n_symbols", F.size("_lines").cast("long").alias("n_lines"),
+        *keep, F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), "n_symbols", F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_w").alias("_n"), F.expr("length(bin(size(_w)))").alias("_b"), "_w",
     )
-    # (hash << bits | position), sorted: equal windows stand side by side.
-    d = d.withColumn("_s", F.expr("if(_n < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0, greatest(_n - 3, 0)), i -> shiftleft(xxhash64(_w[i], _w[i + 1], _w[i + 2]), _b) | cast(i as bigint))))"))
-    same = "shiftrightunsigned(x, _b) = shiftrightunsigned(get(_s, j {} 1), _b)"
-    d = d.withColumn(
-        "_p", F.expr(f"sort_array(transform(filter(_s, (x, j) -> coalesce({same.format('-')}, false) or coalesce({same.format('+')}, false)), x -> x & (shiftleft(1L, _b) - 1)))")
-    )
-    rep = F.expr("aggregate(transform(_p, (x, k) -> least(3L, x - coalesce(get(_p, k - 1), x - 3))), 0L, (a, x) -> a + x)")
+    # Most texts have no window twice. In others, (hash << bits | position), sorted: equal windows stand side by side.
+    d = d.withColumn("_h", F.expr("if(_n < 4, cast(array() as array<bigint>), transform(sequence(0, greatest(_n - 3, 0)), i -> shiftleft(xxhash64(_w[i], _w[i + 1], _w[i + 2]), _b)))"))
+    d = d.withColumn("_s", F.expr("if(size(array_distinct(_h)) = size(_h), cast(array() as array<bigint>), sort_array(transform(_h, (h, i) -> h | cast(i as bigint))))"))
+    mask = "(shiftleft(1L, _b) - 1L)"
+    pairs = f"zip_with(slice(_s, 1, _n - 3), slice(_s, 2, _n - 3), (a, b) -> if(shiftrightunsigned(a ^ b, _b) = 0L, shiftleft(a & {mask}, 32) | (b & {mask}), cast(null as bigint)))"
+    d = d.withColumn("_p", F.expr(f"if(size(_s) = 0, _s, array_compact({pairs}))"))
+    d = d.withColumn("_q", F.expr("sort_array(array_distinct(concat(transform(_p, x -> shiftrightunsigned(x, 32)), transform(_p, x -> x & 4294967295L))))"))
+    # Each window of three adds the words that the one before it does not have.
+    rep = F.expr("if(size(_q) = 0, 0L, 3L + aggregate(zip_with(slice(_q, 1, greatest(size(_q) - 1, 0)), slice(_q, 2, greatest(size(_q) - 1, 0)), (a, b) -> least(3L, b - a)), 0L, (a, x) -> a + x))")
     return d.select(*keep, F.col("_n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_lines", rep.alias("n_repeat_words"))
 
 
@@ -79,31 +82,23 @@ def _vector() -> list[Column]:
     return [F.round(c, 6).alias(f"x{j}") for j, c in enumerate(raw)]
 
 
-def _cholesky(cov: list[list[Column]]) -> list[list[Column]]:
-    low: list[list[Column]] = [[F.lit(0.0)] * DIM for _ in range(DIM)]
-    for i in range(DIM):
-        for j in range(i + 1):
-            rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), cov[i][j])
-            low[i][j] = F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 * 1e-3))) if i == j else rest / F.col(f"l{j}{j}")
-    return low
+PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
 
 
 def _with_factor(est: DataFrame) -> DataFrame:
-    """Adds l00..l44, the Cholesky factor of c00..c44, one entry after another."""
-    cov = [[F.col(f"c{max(i, j)}{min(i, j)}") for j in range(DIM)] for i in range(DIM)]
-    for i in range(DIM):
-        for j in range(i + 1):
-            est = est.withColumn(f"l{i}{j}", _cholesky(cov)[i][j])
-    det = reduce(lambda a, i: a + F.log(F.col(f"l{i}{i}")), range(DIM), F.lit(0.0))
-    return est.withColumn("logdet", F.round(det, 9))
+    """Adds l00..l44, the Cholesky factor of c00..c44, and logdet, the logarithm of its determinant. Entries refer to those before them."""
+    entries = []
+    for i, j in PAIRS:
+        rest = f"c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        entries.append(f"sqrt(greatest({rest}, {FLOOR[i] ** 2 * 1e-3}D)) as l{i}{j}" if i == j else f"({rest}) / l{j}{j} as l{i}{j}")
+    det = " + ".join(f"ln(l{i}{i})" for i in range(DIM))
+    return est.selectExpr("*", *entries, f"round({det}, 9) as logdet")
 
 
 def _distance(df: DataFrame, *keep: str) -> DataFrame:
-    """Adds d2 = |L^-1 (x - m)|^2 by forward substitution."""
-    for i in range(DIM):
-        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"z{k}"), range(i), F.col(f"x{i}") - F.col(f"m{i}"))
-        df = df.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
-    return df.select(*keep, reduce(lambda a, i: a + F.col(f"z{i}") * F.col(f"z{i}"), range(DIM), F.lit(0.0)).alias("d2"))
+    """keep, and d2 = |L^-1 (x - m)|^2 by forward substitution."""
+    z = [f"(x{i} - m{i}{''.join(f' - l{i}{k} * z{k}' for k in range(i))}) / l{i}{i} as z{i}" for i in range(DIM)]
+    return df.selectExpr(*keep, *z, " + ".join(f"z{i} * z{i}" for i in range(DIM)) + " as d2").select(*keep, "d2")
 
 
 def _center_and_spread(x: DataFrame) -> DataFrame:
@@ -127,64 +122,81 @@ def _center_and_spread(x: DataFrame) -> DataFrame:
     )
 
 
-def _c_step(x: DataFrame, est: DataFrame, share: dict[int, float], name: str, small: bool) -> DataFrame:
-    """One concentration step for each (key, start): moments of the share of rows that lie nearest."""
+def _c_step(x: DataFrame, est: DataFrame, first: bool, small: bool) -> DataFrame:
+    """One concentration step for each (key, start) of est: moments of the share of rows that lie nearest."""
     d = _distance(x.join(F.broadcast(est) if small else est, "key"), "key", "start", *[f"x{j}" for j in range(DIM)])
     d = d.withColumn("bucket", F.floor(F.log(F.col("d2") + 1e-9) * 64))
-    pairs = [(i, j) for i in range(DIM) for j in range(i + 1)]
     hist = d.groupBy("key", "start", "bucket").agg(
-        F.count("*").alias("n"),
-        *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in pairs],
+        F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in PAIRS]
     )
     w = Window.partitionBy("key", "start")
-    need = reduce(lambda a, kv: F.when(F.col("start") == kv[0], F.lit(kv[1])).otherwise(a), share.items(), F.lit(SUBSET))
-    near = hist.withColumn("before", F.sum("n").over(w.orderBy("bucket")) - F.col("n")).withColumn("all", F.sum("n").over(w))
-    near = near.where(F.col("before") < F.ceil(F.col("all") * need))
-    sums = near.groupBy("key", "start").agg(
-        F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(DIM)], *[F.sum(f"p{i}{j}").alias(f"p{i}{j}") for i, j in pairs]
-    )
+    # The second start begins with the inner half.
+    share = F.when((F.col("start") == 1) & F.lit(first), 0.5).otherwise(SUBSET)
+    near = hist.withColumn("before", F.sum("n").over(w.orderBy("bucket")) - F.col("n")).withColumn("h", F.ceil(F.sum("n").over(w) * share))
+    near = near.where("before < h").withColumn("part", F.least(F.lit(1.0), (F.col("h") - F.col("before")) / F.col("n")))
+    part = lambda c: F.sum(F.col(c) * F.col("part")).alias(c)
+    sums = near.groupBy("key", "start").agg(part("n"), *[part(f"s{i}") for i in range(DIM)], *[part(f"p{i}{j}") for i, j in PAIRS])
     mean = [F.col(f"s{i}") / F.col("n") for i in range(DIM)]
-    est = sums.select(
+    return _with_factor(sums.select(
         "key", "start", *[F.round(mean[i], 9).alias(f"m{i}") for i in range(DIM)],
-        *[F.round(CONSISTENCY * (F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) + (FLOOR[i] ** 2 if i == j else 0.0), 9).alias(f"c{i}{j}") for i, j in pairs],
-    )
-    return cut(_with_factor(est), name)
+        *[F.round(CONSISTENCY * (F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) + (FLOOR[i] ** 2 if i == j else 0.0), 9).alias(f"c{i}{j}") for i, j in PAIRS],
+    ))
 
 
 def estimates(x: DataFrame, small: bool = False) -> DataFrame:
-    """key -> mean and Cholesky factor of the subset with the smallest determinant, over two starts. x: key, x0..x4."""
+    """key -> mean, covariance and its factor of the subset with the smallest determinant, over two starts. x: key, x0..x4."""
     first = _center_and_spread(x)
     diag = lambda i, j: F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0)
-    start = first.select(
-        "key", F.explode(F.array(F.lit(0), F.lit(1))).alias("start"), *[f"m{j}" for j in range(DIM)],
-        *[diag(i, j).alias(f"c{i}{j}") for i in range(DIM) for j in range(i + 1)],
-    )
-    est = cut(_with_factor(start), "mcd-start")
-    for k in range(C_STEPS):
-        est = _c_step(x, est, {1: 0.5} if k == 0 else {}, f"mcd-step{k}", small)
-    best = est.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("logdet", "start")))
+    start = first.select("key", F.explode(F.array(F.lit(0), F.lit(1))).alias("start"), *[f"m{j}" for j in range(DIM)], *[diag(i, j).alias(f"c{i}{j}") for i, j in PAIRS])
+    moving, settled = cut(_with_factor(start), "mcd-start"), []
+    for k in range(MOST_STEPS):
+        after = _c_step(x, moving, k == 0, small)
+        before = moving.select("key", "start", F.col("logdet").alias("_before"))
+        own = cut(after.join(before, ["key", "start"]).withColumn("_moves", F.lit(k == 0) | (F.abs(F.col("logdet") - F.col("_before")) > SETTLED)).drop("_before"), f"mcd-step{k}")
+        discard(moving)
+        settled.append(own.where("not _moves").drop("_moves"))
+        moving = own.where("_moves").drop("_moves")
+        moving.quire_path = own.quire_path
+        if moving.isEmpty():
+            break
+        if k + 1 < MOST_STEPS:
+            moving = cut(moving, "mcd-moving")
+        else:
+            settled.append(moving)
+    found = reduce(DataFrame.unionByName, settled)
+    best = found.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("logdet", "start")))
     return cut(best.where("_r = 1").drop("_r"), "mcd")
 
 
+def _drawn(est: DataFrame, rows: str, own: str, wider: str) -> DataFrame:
+    """Replaces columns own + m0..c44 by the mixture of own's and wider's estimates, own weighing rows / (rows + PRIOR_ROWS)."""
+    share = f"if({own}m0 is null, 0D, {rows} / ({rows} + {PRIOR_ROWS}D))"
+    of = lambda c: f"coalesce({own}{c}, {wider}{c})"
+    mixed = [f"_a * {of(f'm{i}')} + (1 - _a) * {wider}m{i} as _m{i}" for i in range(DIM)]
+    mixed += [f"_a * {of(f'c{i}{j}')} + (1 - _a) * {wider}c{i}{j} + _a * (1 - _a) * ({of(f'm{i}')} - {wider}m{i}) * ({of(f'm{j}')} - {wider}m{j}) as _c{i}{j}" for i, j in PAIRS]
+    names = [f"m{i}" for i in range(DIM)] + [f"c{i}{j}" for i, j in PAIRS]
+    keep = [c for c in est.columns if c not in {own + n for n in names}]
+    return est.selectExpr(*est.columns, f"{share} as _a", *mixed).select(*keep, *[F.col("_" + n).alias(own + n) for n in names])
+
+
 def judged(stats: DataFrame) -> DataFrame:
     """Adds base_failed, distance2 and kept to statistics that carry lang and source."""
     piece = lambda c: F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(c)))
     keys = [F.to_json(F.array(piece("lang"), piece("source"))), F.to_json(F.array(piece("lang"))), F.lit("[]")]
     rows = stats.withColumns({f"k{i}": k for i, k in enumerate(keys)}).withColumn("base_failed", base_failed()).select("*", *_vector())
     sound = rows.where(~F.col("base_failed"))
-    counts = cut(sound.select(F.explode(F.array("k0", "k1", "k2")).alias("key")).groupBy("key").agg(F.count("*").alias("rows")), "mcd-groups")
-    enough = counts.where((F.col("rows") >= MIN_GROUP) | (F.col("key") == "[]")).select("key", F.lit(True).alias("_ok"))
-    xs = [f"x{j}" for j in range(DIM)]
-    small = enough.count() <= BROADCAST_GROUPS
+    groups = rows.groupBy("k0", "k1", "k2").agg(F.count_if(~F.col("base_failed")).alias("n0"))
+    groups = cut(groups.withColumn("n1", F.sum("n0").over(Window.partitionBy("k1"))), "mcd-groups")
+    small = groups.count() <= BROADCAST_GROUPS
     hint = F.broadcast if small else lambda df: df
-    x = sound.select(F.explode(F.array("k0", "k1", "k2")).alias("key"), *xs).join(hint(enough), "key").drop("_ok")
-    est = estimates(x, small)
-    for i in (0, 1):
-        rows = rows.join(hint(enough.select(F.col("key").alias(f"k{i}"), F.col("_ok").alias(f"_ok{i}"))), f"k{i}", "left")
-    rows = rows.withColumn("key", F.when(F.col("_ok0"), F.col("k0")).when(F.col("_ok1"), F.col("k1")).otherwise(F.col("k2")))
+    est = estimates(sound.select(F.explode(F.array("k0", "k1", "k2")).alias("key"), *[f"x{j}" for j in range(DIM)]), small)
+    names = [f"m{i}" for i in range(DIM)] + [f"c{i}{j}" for i, j in PAIRS]
+    for k, prefix in (("k0", "g"), ("k1", "l"), ("k2", "a")):
+        groups = groups.join(hint(est.select(F.col("key").alias(k), *[F.col(c).alias(prefix + c) for c in names])), k, "left")
+    groups = _drawn(_drawn(groups, "n1", "l", "a"), "n0", "g", "l")
+    known = cut(_with_factor(groups.select("k0", *[F.col("g" + c).alias(c) for c in names])), "mcd-drawn")
     keep = [*stats.columns, "base_failed"]
-    out = _distance(rows.join(hint(est), "key", "left"), *keep)
+    out = _distance(rows.join(hint(known), "k0", "left"), *keep)
     return out.select(*keep, F.col("d2").alias("distance2"), (~F.col("base_failed") & F.coalesce(F.col("d2") <= LIMIT, F.lit(True))).alias("kept"))
 
 
