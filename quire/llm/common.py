@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-#: Folders of our own, by application, for sessions without spark.checkpoint.dir (local ones, as in tests).
+#: Folders of our own, by application, for local sessions without spark.checkpoint.dir, as in tests.
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it. Where that is unset, a local
+    session, whose driver is its only executor, gets a folder of its own; on a cluster it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
-        where = _OWN[app]
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: the operators need a folder that the driver and all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
+        where = _OWN[context.applicationId]
     return where.rstrip("/")
 
 
@@ -46,11 +49,21 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def apart(docs: DataFrame, **own: Column) -> DataFrame:
+    """docs as two structs: row, its columns, and own, further ones. So no name of ours can clash with a column."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(*[v.alias(k) for k, v in own.items()]).alias("own"))
+
+
+def together(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of apart() as they were."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
 def keep_rows(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id and text hash (xxhash64 of text) stand in verdict (doc_id, th); nulls match nulls."""
-    v = verdict.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).distinct()
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    return keyed.join(v, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_semi").drop("_th")
+    v = verdict.select("doc_id", "th").distinct().select(F.struct("*").alias("v"))
+    rows = apart(docs, doc_id=F.col("doc_id"), th=F.xxhash64("text"))
+    return together(rows.join(v, F.col("own.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("own.th") == F.col("v.th")), "left_semi"), docs.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import words
-from quire.llm.common import cut, discard, release
+from quire.llm.common import apart, cut, discard, release, together
 from quire.llm.components import components
 
 PERCENT = 75
@@ -247,6 +247,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Of each group of linked documents that with the least doc_id; of rows that repeat it and its text, one."""
     found = near_duplicates(docs)
-    first = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "ngram-first").withColumnRenamed("doc_id", "_d")
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    return keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").dropDuplicates(["doc_id", "_th"]).select(docs.columns)
+    first = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "ngram-first")
+    rows = apart(docs, doc_id=F.col("doc_id"), th=F.xxhash64("text"))
+    rows = rows.join(first.select(F.struct("doc_id").alias("v")), F.col("own.doc_id").eqNullSafe(F.col("v.doc_id")), "left_semi")
+    return together(rows.dropDuplicates(["own"]), docs.columns)

@@ -8,19 +8,19 @@ with lines as (
 ), worded as (
   select doc_id, number, line, {WORDS.format('line')} w from lines
 ), eligible as (
-  select doc_id, number, w, len(w) n, array_to_string(w, ' ') key from worded where len(w) >= 5
+  select doc_id, number, w, len(w) n, array_to_string(w, ' ') key from worded where len(w) >= 1
 ), classes as (
   select key, any_value(w) w, any_value(n) n, min((doc_id, number)) first from eligible group by key
 ), variants as (
-  select key, n, first, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:n]), ' ') v from (select *, unnest(range(1, n + 1)) i from classes where n >= 10) x
+  select key, n, first, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:n]), ' ') v from (select *, unnest(range(1, n + 1)) i from classes where n >= 5) x
 ), replaced as (
   select v, i, n, min(first) w from variants group by v, i, n
 ), longer as (
   select v, min(first) w from variants group by v
 ), near as (
   select a.key from variants a join replaced r on r.v = a.v and r.i = a.i and r.n = a.n where r.w < a.first
-  union select a.key from variants a join classes c on c.key = a.v and c.n >= 10 where c.first < a.first
-  union select c.key from classes c join longer l on l.v = c.key where c.n >= 10 and l.w < c.first
+  union select a.key from variants a join classes c on c.key = a.v and c.n >= 5 where c.first < a.first
+  union select c.key from classes c join longer l on l.v = c.key where c.n >= 5 and l.w < c.first
 ), gone as (
   select e.doc_id, e.number from eligible e join classes c on c.key = e.key where c.first <> (e.doc_id, e.number) or e.key in (select key from near)
 )
