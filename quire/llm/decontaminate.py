@@ -6,17 +6,20 @@ test matrix W, tasks sum A'(A W), and the Nystrom form of A'A gives the right si
 projected on V/s, so that no common topic rules the cosine. Every benchmark item is then sought in sliding windows of
 every document, of the least size that holds it and a quarter (from 40 words on a third) of that size apart: windows with a cosine of COSINE or more
 are candidates. A candidate must hold OVERLAP of the item by TF-IDF mass; then the longest common subsequence of the
-item's words and the words around the window must cover LCS_SHARE of the item, and that of the item's answer, its last
-ANSWER_WORDS words, ANSWER_SHARE of it. Items under SHORT_WORDS words must be covered whole.
+item's words and the words around the window is taken. A paraphrase covers LCS_SHARE of the item and ANSWER_SHARE of its
+answer; the benchmark has no column for answers, so the item's last ANSWER_WORDS words stand for one. A copy needs no
+answer: it covers SURE_SHARE of the item, or holds RUN_WORDS of its words in a row. Items under SHORT_WORDS words must be
+covered whole.
 
 Words are runs of characters other than space and tab to carriage return, without marks at either end; A-Z and U+00C0 to
 U+00DE count as lower case.
-Items are broadcast in blocks of ITEM_BLOCK, a pass over the documents each. The sums that reach the driver have
-FEATURES * RANK entries, of any input.
+Items are broadcast in blocks of ITEM_BLOCK, a pass over the documents each; 2 KB an item. The sums that reach the driver have
+FEATURES * RANK entries, of any input; they are added as whole numbers, of 2^-16, so that their order does not matter.
 
-Defined cases: null or empty text has no passages and is clean; null or empty items match nothing; repeated rows are each
-reported under their doc_id once; empty tables give an empty result; other columns are not read by the search and pass
-through `clean`.
+Defined cases: null or empty text has no passages and is clean; null or empty items match nothing; texts of any length are
+searched whole; repeated rows are each reported under their doc_id once, and `clean` drops all rows of a doc_id that one
+of them is reported for, and keeps those with none; of equal finds the one with the greatest shares counts; empty tables
+give an empty result; other columns are not read by the search and pass through `clean`, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,14 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words
-from quire.llm.common import cut
+from quire.llm.common import apart, cut, together
 
 FEATURES, RANK = 1 << 14, 48
 BLOCK, STOP_SHARE = 64, 0.35
 SIZES = (20, 27, 36, 48, 64)
-COSINE, OVERLAP = 0.47, 0.45
+COSINE, OVERLAP = 0.35, 0.45
 LCS_SHARE, ANSWER_SHARE, ANSWER_WORDS, SHORT_WORDS = 0.6, 0.5, 6, 8
-ITEM_BLOCK = 4096
+SURE_SHARE, RUN_WORDS = 0.75, 20
+ITEM_BLOCK = 16384
 U = np.uint64
 #: Bytes that may stand at either end of a word and do not belong to it (fixed values: ASCII marks).
 MARKS = b".,;:!?\"'()[]"
@@ -85,29 +89,32 @@ def _texts(docs: DataFrame, work, schema: str, finish=None) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _sum_rows(rows: DataFrame, dtype) -> np.ndarray:
-    """The sum of the vectors in column v by slice j, in two steps so that no task reads more than a share of the tasks'."""
+def _sum_rows(rows: DataFrame) -> np.ndarray:
+    """The sum of the vectors in column v by slice j, in a tree: of PARTS tasks' vectors FAN at a time are added."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for x in batches:
-            for j, v in zip(x.column(0).to_pylist(), x.column(2)):
-                v = np.frombuffer(v.as_buffer(), dtype=dtype)
-                total[j] = total[j] + v if j in total else v
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["j", "part", "v"])
+            for j, part, v in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2)):
+                v, key = np.frombuffer(v.as_buffer(), dtype=np.int64), (j, part)
+                total[key] = total[key] + v if key in total else v
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary())], names=["j", "part", "v"])
 
-    schema = "j int, part int, v binary"
-    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    got = rows.repartition(shares, "j", "part").mapInArrow(add, schema).repartition(8, "j").mapInArrow(add, schema).toArrow().sort_by("j")
-    return np.concatenate([np.frombuffer(v.as_buffer(), dtype=dtype) for c in got["v"].chunks for v in c]) if got.num_rows else np.empty(0, dtype=dtype)
+    parts = PARTS
+    while parts > 1:
+        rows, parts = rows.withColumn("part", F.expr(f"part div {FAN}").cast("int")).repartition("j", "part").mapInArrow(add, "j int, part int, v binary"), parts // FAN
+    got = rows.toArrow().sort_by("j")
+    return np.concatenate([np.frombuffer(v.as_buffer(), dtype=np.int64) for c in got["v"].chunks for v in c]) if got.num_rows else np.empty(0, dtype=np.int64)
 
 
-SLICES = 16
+#: Pieces that a vector of sums is cut into; vectors of so many tasks are told apart, and so many are added at a time.
+SLICES, PARTS, FAN = 16, 4096, 16
 
 
-def _slices(v: np.ndarray, dtype) -> pa.RecordBatch:
-    part = TaskContext.get().partitionId() % 64
-    cut_up = np.split(v.astype(dtype), SLICES)
+def _slices(v: np.ndarray) -> pa.RecordBatch:
+    part = TaskContext.get().partitionId() % PARTS
+    cut_up = np.split(v.astype(np.int64), SLICES)
     return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array([x.tobytes() for x in cut_up], pa.binary())], names=["j", "part", "v"])
 
 
@@ -132,9 +139,9 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def finish(state: dict):
         # The number of passages rides in SLICES further places.
-        return _slices(np.concatenate([state["df"].reshape(SLICES, -1), np.full((SLICES, 1), state["n"])], axis=1).ravel(), np.int64) if state else None
+        return _slices(np.concatenate([state["df"].reshape(SLICES, -1), np.full((SLICES, 1), state["n"])], axis=1).ravel()) if state else None
 
-    got = _sum_rows(_texts(docs, work, "j int, part int, v binary", finish), np.int64)
+    got = _sum_rows(_texts(docs, work, "j int, part int, v binary", finish))
     if not len(got):
         return np.zeros(FEATURES, dtype=np.int64), 0
     got = got.reshape(SLICES, -1)
@@ -166,10 +173,10 @@ def latent_space(docs: DataFrame, seed: int = 11) -> tuple[np.ndarray, np.ndarra
         state["g"][f[at]] += np.add.reduceat(y[row[order]], at, axis=0)
 
     def finish(state: dict):
-        return _slices((state["g"] * idf[:, None]).ravel(), np.float32) if state else None
+        return _slices(np.rint((state["g"] * idf[:, None]).ravel() * 65536)) if state else None
 
-    g = _sum_rows(_texts(docs, work, "j int, part int, v binary", finish), np.float32)
-    g = g.reshape(FEATURES, RANK).astype(np.float64) if len(g) else np.zeros((FEATURES, RANK))
+    g = _sum_rows(_texts(docs, work, "j int, part int, v binary", finish))
+    g = g.reshape(FEATURES, RANK) / 65536 if len(g) else np.zeros((FEATURES, RANK))
     core = test.T @ g
     core = (core + core.T) / 2
     size = np.trace(core) / RANK
@@ -199,7 +206,10 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str], idf: np.ndarray, projection: np.ndarray, t: dict[str, np.ndarray]):
         x = Text(pa.array(texts, pa.large_string()), t)
         self.ids, self.words = ids, [x.h[a:b].tolist() for a, b in zip(x.first[:-1], x.first[1:])]
+        self.runs = [{tuple(w[i : i + RUN_WORDS]) for i in range(len(w) - RUN_WORDS + 1)} for w in self.words]
         self.classes = []
+        #: What a feature's word weighs in the mass that a window shares with an item.
+        self.weight = np.append(np.maximum(idf, 0.05), 0.0).astype(np.float32)
         weighted = projection * idf[:, None].astype(np.float32)
         by_size: dict[int, list[tuple[int, int, int]]] = {}
         for k, (a, b) in enumerate(zip(x.first[:-1], x.first[1:])):
@@ -209,11 +219,11 @@ class Items:
         for size, pieces in sorted(by_size.items()):
             y = np.stack([weighted[x.f[s:e]].sum(axis=0) for _, s, e in pieces])
             y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-            mass = np.zeros((len(pieces), FEATURES), dtype=np.float32)
+            has = np.zeros((len(pieces), FEATURES // 8 + 1), dtype=np.uint8)  # a bit a feature
             for i, (_, s, e) in enumerate(pieces):
-                mass[i, x.f[s:e]] = np.maximum(idf[x.f[s:e]], 0.05)
-            least = np.array([OVERLAP * np.maximum(idf[x.f[s:e]], 0.05).sum() for _, s, e in pieces], dtype=np.float32)
-            self.classes.append((size, np.array([k for k, _, _ in pieces]), y.astype(np.float32), mass, least))
+                np.bitwise_or.at(has[i], x.f[s:e] >> 3, np.left_shift(1, x.f[s:e] & 7).astype(np.uint8))
+            least = np.array([OVERLAP * self.weight[x.f[s:e]].sum() for _, s, e in pieces], dtype=np.float32)
+            self.classes.append((size, np.array([k for k, _, _ in pieces]), y.astype(np.float32), has, least))
 
     def found(self, x: Text, idf: np.ndarray, weighted: np.ndarray) -> dict[tuple[int, int], tuple]:
         """(row, item) -> (share of the item's words found, cosine, share of the answer, first word of the window)."""
@@ -226,8 +236,8 @@ class Items:
         sums = np.concatenate([np.zeros((1, RANK), dtype=np.float32), np.cumsum(weighted[x.f[live]], axis=0, dtype=np.float32)])
         rows = np.flatnonzero(np.diff(x.first))
         a, b = x.first[rows], x.first[rows + 1]
-        padded = np.concatenate([x.f, np.full(SIZES[-1], -1)])
-        for size, item, y, mass, least in self.classes:
+        padded = np.concatenate([x.f, np.full(SIZES[-1], FEATURES)])
+        for size, item, y, has, least in self.classes:
             step = size // 4 if size < 40 else size // 3
             count = np.maximum(0, -(-(b - a - size) // step)) + 1
             row = np.repeat(rows, count)
@@ -235,26 +245,34 @@ class Items:
             end = np.minimum(start + size, x.first[row + 1])
             z = sums[upto[end]] - sums[upto[start]]
             norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)
-            near = z @ y.T
-            hits = np.flatnonzero(near >= (COSINE * norm)[:, None])
-            win, col = hits // len(y), hits % len(y)
-            for lo in range(0, len(win), 8192):
-                w, c = win[lo : lo + 8192], col[lo : lo + 8192]
-                span = start[w][:, None] + np.arange(size)
-                inside = span < end[w][:, None]
-                got = (mass[c[:, None], padded[span]] * inside).sum(axis=1)
-                for i in np.flatnonzero(got >= least[c]):
-                    self._check(x, int(row[w[i]]), int(item[c[i]]), int(start[w[i]]), int(end[w[i]]), float(near[w[i], c[i]] / norm[w[i]]), out)
+            for top in range(0, len(z), max(1, (1 << 22) // len(y))):  # 16 MB of cosines at a time
+                rows_at = slice(top, top + max(1, (1 << 22) // len(y)))
+                near = z[rows_at] @ y.T
+                hits = np.flatnonzero(near >= (COSINE * norm[rows_at])[:, None])
+                win, col = hits // len(y), hits % len(y)
+                for lo in range(0, len(win), 8192):
+                    w, c = win[lo : lo + 8192] + top, col[lo : lo + 8192]
+                    span = start[w][:, None] + np.arange(size)
+                    f = np.where(span < end[w][:, None], padded[span], FEATURES)
+                    got = (self.weight[f] * ((has[c[:, None], f >> 3] >> (f & 7)) & 1)).sum(axis=1)
+                    for i in np.flatnonzero(got >= least[c]):
+                        self._check(x, int(row[w[i]]), int(item[c[i]]), int(start[w[i]]), int(end[w[i]]), float(near[w[i] - top, c[i]] / norm[w[i]]), out)
         return out
 
     def _check(self, x: Text, row: int, item: int, start: int, end: int, cosine: float, out: dict) -> None:
         target = self.words[item]
         room = len(target) // 2 + 4 if len(target) <= SIZES[-1] else len(target)
         region = x.h[max(int(x.first[row]), start - room) : min(int(x.first[row + 1]), end + room)].tolist()
+        if out.get((row, item), (0.0,))[0] == 1.0:
+            return
         share = common_subsequence(target, region) / len(target)
         answer = target[-ANSWER_WORDS:]
         answered = common_subsequence(answer, region) / len(answer)
-        if share >= (LCS_SHARE if len(target) >= SHORT_WORDS else 1.0) and answered >= ANSWER_SHARE:
+        if len(target) < SHORT_WORDS:
+            leaks = share == 1.0
+        else:
+            leaks = share >= SURE_SHARE or (share >= LCS_SHARE and answered >= ANSWER_SHARE) or any(tuple(region[i : i + RUN_WORDS]) in self.runs[item] for i in range(len(region) - RUN_WORDS + 1))
+        if leaks:
             out[row, item] = max(out.get((row, item), (0.0,)), (share, cosine, answered, start - int(x.first[row])))
 
 
@@ -286,4 +304,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; those with null doc_id are kept."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    found = cut(contaminated(docs, benchmark).select("doc_id").distinct(), "leaks-found")
+    rows = apart(docs, doc_id=F.col("doc_id"))
+    return together(rows.join(found.select(F.struct("doc_id").alias("v")), F.col("own.doc_id") == F.col("v.doc_id"), "left_anti"), docs.columns)
