@@ -4,8 +4,9 @@ Passages of BLOCK words, over all documents, give TF-IDF vectors over FEATURES h
 that make up STOP_SHARE of all words of passages, count as stop words). A randomised SVD of that matrix A is computed in one distributed pass: with a Gaussian
 test matrix W, tasks sum A'(A W), and the Nystrom form of A'A gives the right singular vectors V and values s. Texts are
 projected on V/s, so that no common topic rules the cosine. Every benchmark item is then sought in sliding windows of
-every document, of the least size that holds it and a quarter (from 40 words on a third) of that size apart: windows with a cosine of COSINE or more
-are candidates. A candidate must hold OVERLAP of the item by TF-IDF mass; then the longest common subsequence of the
+every document, of the least size that holds it and a quarter (from 40 words on a third) of that size apart, in whole
+GRAINs: windows with a cosine of COSINE or more
+where that is not less than at the neighbouring windows are candidates. A candidate must hold OVERLAP of the item by TF-IDF mass; then the longest common subsequence of the
 item's words and the words around the window is taken. A paraphrase covers LCS_SHARE of the item and ANSWER_SHARE of its
 answer; the benchmark has no column for answers, so the item's last ANSWER_WORDS words stand for one. A copy needs no
 answer: it covers SURE_SHARE of the item, or holds RUN_WORDS of its words in a row. Items under SHORT_WORDS words must be
@@ -38,7 +39,8 @@ from quire.llm.common import apart, cut, together
 
 FEATURES, RANK = 1 << 14, 48
 BLOCK, STOP_SHARE = 64, 0.35
-SIZES = (20, 27, 36, 48, 64)
+#: Sizes of windows, and how far apart they are, in words: multiples of GRAIN.
+SIZES, STEPS, GRAIN = (20, 28, 36, 48, 64), (4, 8, 8, 16, 20), 4
 COSINE, OVERLAP = 0.35, 0.45
 LCS_SHARE, ANSWER_SHARE, ANSWER_WORDS, SHORT_WORDS = 0.6, 0.5, 6, 8
 SURE_SHARE, RUN_WORDS = 0.75, 20
@@ -74,6 +76,14 @@ class Text:
         self.f = ((self.h >> U(40)) & U(FEATURES - 1)).astype(np.int64)
         self.first, self.doc = w.first, w.doc
 
+    def blocks(self, size: int) -> np.ndarray:
+        """The features of each text in rows of `size` words, the last one of a text filled up with FEATURES."""
+        n = -(-np.diff(self.first) // size)
+        self.block_first = np.concatenate([[0], np.cumsum(n)])
+        out = np.full((self.block_first[-1], size), FEATURES, dtype=np.int32)
+        out.reshape(-1)[np.arange(len(self.f)) - self.first[self.doc] + self.block_first[self.doc] * size] = self.f
+        return out
+
 
 def _texts(docs: DataFrame, work, schema: str, finish=None) -> DataFrame:
     """mapInArrow over (doc_id, text): work(part, text, state) may give a batch for each part; finish(state) one at the end."""
@@ -118,24 +128,16 @@ def _slices(v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array([x.tobytes() for x in cut_up], pa.binary())], names=["j", "part", "v"])
 
 
-def _blocks(x: Text) -> np.ndarray:
-    """For each word the passage that it stands in, numbered through the column."""
-    within = (np.arange(len(x.f)) - x.first[x.doc]) // BLOCK
-    new = np.ones(len(x.f), dtype=bool)
-    new[1:] = (x.doc[1:] != x.doc[:-1]) | (within[1:] != within[:-1])
-    return np.cumsum(new) - 1
-
-
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many passages each feature stands, and how many passages there are."""
 
     def work(part, x: Text, state: dict) -> None:
         if len(x.f):
-            blocks = _blocks(x)
-            keys = blocks * FEATURES + x.f
-            keys = np.unique(keys.astype(np.int32) if keys[-1] < 1 << 30 else keys)
-            state["df"] = state.get("df", 0) + np.bincount(keys % FEATURES, minlength=FEATURES)
-            state["n"] = state.get("n", 0) + int(blocks[-1]) + 1
+            passages = np.sort(x.blocks(BLOCK).astype(np.uint16), axis=1)
+            new = np.ones(passages.shape, dtype=bool)
+            new[:, 1:] = passages[:, 1:] != passages[:, :-1]
+            state["df"] = state.get("df", 0) + np.bincount(passages[new], minlength=FEATURES + 1)[:FEATURES]
+            state["n"] = state.get("n", 0) + len(passages)
 
     def finish(state: dict):
         # The number of passages rides in SLICES further places.
@@ -155,25 +157,29 @@ def latent_space(docs: DataFrame, seed: int = 11) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(-df, kind="stable")
     idf[order[np.cumsum(df[order]) <= STOP_SHARE * df.sum()]] = 0.0
     test = np.random.Generator(np.random.PCG64(seed)).standard_normal((FEATURES, RANK)) * (idf > 0)[:, None]
-    ahead = (test * idf[:, None]).astype(np.float32)
+    ahead = np.append(test * idf[:, None], np.zeros((1, RANK)), axis=0).astype(np.float32)
+    ahead_is = np.append(idf > 0, False)
 
     def work(part, x: Text, state: dict) -> None:
-        live = np.flatnonzero(idf[x.f] > 0)
-        if not len(live):
+        if not len(x.f):
             return
-        f, block = x.f[live], _blocks(x)[live]
-        at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        y = np.add.reduceat(ahead[f], at, axis=0)
-        row = np.cumsum(np.r_[0, block[1:] != block[:-1]])
-        order = np.argsort(f.astype(np.uint16), kind="stable")
-        f = f[order]
-        at = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
+        passages = x.blocks(BLOCK)
+        y = np.zeros((len(passages), RANK), dtype=np.float32)
+        for k in range(BLOCK):
+            y += ahead[passages[:, k]]
         if "g" not in state:
-            state["g"] = np.zeros((FEATURES, RANK), dtype=np.float64)
-        state["g"][f[at]] += np.add.reduceat(y[row[order]], at, axis=0)
+            state["g"] = np.zeros((FEATURES + 1, RANK), dtype=np.float64)
+        flat = passages.ravel()
+        live = np.flatnonzero(ahead_is[flat])
+        order = live[np.argsort(flat[live].astype(np.uint16), kind="stable")]
+        f, row = flat[order], order // BLOCK
+        for a in range(0, len(f), 4096):  # as much as stays in a core's cache
+            own = f[a : a + 4096]
+            at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            state["g"][own[at]] += np.add.reduceat(y[row[a : a + 4096]], at, axis=0)
 
     def finish(state: dict):
-        return _slices(np.rint((state["g"] * idf[:, None]).ravel() * 65536)) if state else None
+        return _slices(np.rint((state["g"][:FEATURES] * idf[:, None]).ravel() * 65536)) if state else None
 
     g = _sum_rows(_texts(docs, work, "j int, part int, v binary", finish))
     g = g.reshape(FEATURES, RANK) / 65536 if len(g) else np.zeros((FEATURES, RANK))
@@ -231,32 +237,45 @@ class Items:
         n = len(x.f)
         if not n:
             return out
-        live = idf[x.f] > 0
-        upto = np.concatenate([[0], np.cumsum(live)])
-        sums = np.concatenate([np.zeros((1, RANK), dtype=np.float32), np.cumsum(weighted[x.f[live]], axis=0, dtype=np.float32)])
+        grains = x.blocks(GRAIN)
+        own = weighted[grains[:, 0]]
+        for k in range(1, GRAIN):
+            own += weighted[grains[:, k]]
+        sums = np.zeros((len(own) + 1, RANK), dtype=np.float32)
+        np.cumsum(own, axis=0, out=sums[1:])
         rows = np.flatnonzero(np.diff(x.first))
-        a, b = x.first[rows], x.first[rows + 1]
+        a, b, base = x.first[rows], x.first[rows + 1], x.block_first[rows]
         padded = np.concatenate([x.f, np.full(SIZES[-1], FEATURES)])
         for size, item, y, has, least in self.classes:
-            step = size // 4 if size < 40 else size // 3
+            step = STEPS[SIZES.index(size)]
             count = np.maximum(0, -(-(b - a - size) // step)) + 1
-            row = np.repeat(rows, count)
-            start = np.repeat(a, count) + step * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+            place = step * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+            row, low = np.repeat(rows, count), np.repeat(base, count) + place // GRAIN
+            start = np.repeat(a, count) + place
             end = np.minimum(start + size, x.first[row + 1])
-            z = sums[upto[end]] - sums[upto[start]]
+            z = sums[low - (start - end) // GRAIN] - sums[low]
             norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)
-            for top in range(0, len(z), max(1, (1 << 22) // len(y))):  # 16 MB of cosines at a time
-                rows_at = slice(top, top + max(1, (1 << 22) // len(y)))
-                near = z[rows_at] @ y.T
-                hits = np.flatnonzero(near >= (COSINE * norm[rows_at])[:, None])
+            block = max(3, (1 << 22) // len(y))  # 16 MB of cosines at a time, and a window more on either side
+            for top in range(0, len(z), block):
+                lead = min(top, 1)
+                here = slice(top - lead, top + block + 1)
+                near = (z[here] @ y.T) / norm[here, None]
+                hits = np.flatnonzero(near[lead : lead + block] >= COSINE) + lead * len(y)
                 win, col = hits // len(y), hits % len(y)
+                # Of neighbouring windows of a text, those where the item's cosine is at a peak.
+                of, flat = row[here], near.ravel()
+                before, after = np.maximum(win - 1, 0), np.minimum(win + 1, len(near) - 1)
+                value = flat[hits]
+                peak = ((of[before] != of[win]) | (flat[before * len(y) + col] <= value)) & ((of[after] != of[win]) | (flat[after * len(y) + col] <= value))
+                win, col = win[peak] + top - lead, col[peak]
+                value = value[peak]
                 for lo in range(0, len(win), 8192):
-                    w, c = win[lo : lo + 8192] + top, col[lo : lo + 8192]
+                    w, c = win[lo : lo + 8192], col[lo : lo + 8192]
                     span = start[w][:, None] + np.arange(size)
                     f = np.where(span < end[w][:, None], padded[span], FEATURES)
                     got = (self.weight[f] * ((has[c[:, None], f >> 3] >> (f & 7)) & 1)).sum(axis=1)
                     for i in np.flatnonzero(got >= least[c]):
-                        self._check(x, int(row[w[i]]), int(item[c[i]]), int(start[w[i]]), int(end[w[i]]), float(near[w[i] - top, c[i]] / norm[w[i]]), out)
+                        self._check(x, int(row[w[i]]), int(item[c[i]]), int(start[w[i]]), int(end[w[i]]), float(value[lo + i]), out)
         return out
 
     def _check(self, x: Text, row: int, item: int, start: int, end: int, cosine: float, out: dict) -> None:
@@ -279,7 +298,7 @@ class Items:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, lcs_share, answer_share and cosine of every document that holds a benchmark item."""
     idf, projection = latent_space(docs)
-    weighted = projection * idf[:, None].astype(np.float32)
+    weighted = np.append(projection * idf[:, None], np.zeros((1, RANK)), axis=0).astype(np.float32)
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null").distinct()
     blocks = max(1, math.ceil(items.count() / ITEM_BLOCK))
     out = None

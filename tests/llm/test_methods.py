@@ -342,7 +342,7 @@ def test_copies_need_no_answer_and_paraphrases_do():
         filler(300, 12),
     ]
     x = decontaminate.Text(pa.array([" ".join(w) for w in texts], pa.large_string()), t)
-    found = items.found(x, idf, flat)
+    found = items.found(x, idf, np.append(flat, np.zeros((1, decontaminate.RANK), dtype=np.float32), axis=0))
     assert set(found) == {(0, 0), (1, 0), (3, 1), (4, 2)}
 
 
