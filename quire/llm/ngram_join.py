@@ -49,8 +49,8 @@ MOST = 6
 COMMON = 12
 #: 64-bit words of the parity bitmap of a set at the second level.
 CELLS = 8
-#: Bits of the filter through which the second and third pass over the texts pick sets: 1 MB, of any input.
-FILTER_BITS = 1 << 23
+#: Least and most bits of the filter through which later passes over the texts pick sets, eight bits a set: 32 MB at most. An exact join follows.
+LEAST_BITS, FILTER_BITS = 1 << 20, 1 << 28
 
 
 def need(n):
@@ -86,7 +86,7 @@ def _new(sets, state, mask=None):
     """(sig, set) of the sets that this task meets for the first time and that the filter may hold."""
     seen = state.setdefault("seen", set())
     for s in sets:
-        if len(s) and (sig := words.set_hash(s)) not in seen and (mask is None or mask[(sig % FILTER_BITS) >> 3] >> (sig % 8) & 1):
+        if len(s) and (sig := words.set_hash(s)) not in seen and (mask is None or mask[(sig % (8 * len(mask))) >> 3] >> (sig % 8) & 1):
             seen.add(sig)
             yield sig, s
 
@@ -115,20 +115,20 @@ def whole_sets(docs: DataFrame, picked: np.ndarray) -> DataFrame:
 
 
 def filter_of(sigs: DataFrame) -> np.ndarray:
-    """A bitmap of the column `sig`, of FILTER_BITS bits at most."""
-    at = F.pmod(F.col("sig"), F.lit(FILTER_BITS))
-    bits = sigs.select(F.floor(at / 8).alias("i"), F.expr(f"shiftleft(1, cast(pmod(sig, 8) as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    """A bitmap of the column `sig`, of eight bits a row."""
+    size = max(LEAST_BITS, min(FILTER_BITS, 1 << (8 * sigs.count()).bit_length()))
+    at = F.pmod(F.col("sig"), F.lit(size))
+    bits = sigs.select(F.floor(at / 8).alias("i"), F.expr("shiftleft(1, cast(pmod(sig, 8) as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
     rows = bits.toArrow()
-    mask = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    mask = np.zeros(size // 8, dtype=np.uint8)
     mask[rows["i"].to_numpy().astype(np.int64)] = rows["b"].to_numpy().astype(np.uint8)
     return mask
 
 
 def shared_tokens(posts: DataFrame) -> DataFrame:
     """sig -> its window's shingles that another class has too, rarest first: tokens, and df (in how many classes)."""
-    w = Window.partitionBy("token")
-    counted = posts.select("token", "sig", F.min("sig").over(w).alias("a"), F.max("sig").over(w).alias("b"), F.count("*").over(w).cast("int").alias("df")).where("a <> b")
-    return counted.groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t"))
+    df = posts.groupBy("token").agg(F.min("sig").alias("a"), F.max("sig").alias("b"), F.count("*").cast("int").alias("df")).where("a <> b").select("token", "df")
+    return posts.join(df, "token").groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t"))
 
 
 def prefixes(shared: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:

@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing of documents into sequences of a fixed number of words.
 
 A text is cut into pieces of `capacity` words; what is left over is a piece too. Pieces are dealt by a seeded hash into
-groups of about GROUP_PIECES, each packed on its own: longest piece first (ties by doc_id, then piece), into the bin with
+groups of about GROUP_PIECES, each packed on its own: longest piece first (ties by doc_id, piece, cluster
+and source; what ties then is alike), into the bin with
 the least room that holds it and conflicts with nothing in it. Open bins stand in order of room (ties: older bin first)
 and carry one bitmap of sources and one of duplicate clusters; the search starts at the successor of the piece's length
 and goes on until the bitmaps show no conflict. No compatible bin: a new one. Every piece is packed, so a group of any
@@ -9,8 +10,8 @@ size gives a whole result; hot sources or clusters only mean more bins.
 
 Conflicts: two pieces of one duplicate cluster never share a bin, and at most one piece of a source stands in a bin.
 Clusters are equal texts (lower case, white space folded) unless cluster_col names a column. Null source or cluster
-conflicts with nothing. Defined cases: null or empty text, or one without words, gives one row with no bin; repeated rows
-are packed each; an empty table gives an empty result; other columns are not read.
+conflicts with nothing. Defined cases: null or empty text, or one without words, gives one row with no bin; texts of any
+length are packed whole, in as many pieces as it takes; repeated rows are packed each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster_col: str | None = No
     dealt = cut_up.where("n_words > 0").withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece", "cluster", "source"), F.lit(groups)).cast("long"))
 
     def one_group(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        t = t.sort_by([("n_words", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "cluster", "source"))])
         arr = lambda c: t[c].to_numpy()
         bins, starts = best_fit(arr("n_words"), arr("source"), arr("no_source").astype(bool), arr("cluster"), arr("no_cluster").astype(bool), capacity)
         g = t["g"][0].as_py()

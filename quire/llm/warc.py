@@ -11,7 +11,9 @@ with a loser tree: partitions in order hold the captures in global order. One UR
 ranges by time.
 
 Defined cases: null html is an empty payload; null url has an empty key; null page_id is carried as null; page times are
-EPOCH plus page_id seconds as the table has none; an empty table gives an empty result; other columns are not read.
+EPOCH plus page_id seconds as the table has none; payloads of any length are written whole, in one record; captures that tie
+in URL key, time and page_id, as repeated rows do, keep the order of their runs, and share a record id if their payloads
+are equal; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import cut, new_path
 
 SEGMENT_BYTES = 8 << 20
+#: Bytes of a segment that are unpacked at a time, and runs that are merged at a time.
+FEED, MOST_RUNS = 1 << 15, 64
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 MANIFEST = "file string, records long, bytes long"
 INDEX = "run string, url_key string, capture_time string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
@@ -67,24 +72,29 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if revisit else http + payload
-    name = lambda i: f"<urn:page:{'' if i is None else i}>"
+    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page {i} {digest}')}>"
     head = [
-        "WARC/1.0", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {capture_time(page_id)}",
+        "WARC/1.0", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"X-Page-ID: {'' if page_id is None else page_id}", f"WARC-Date: {capture_time(page_id)}",
         f"WARC-Target-URI: {quote(url or '', safe=URI_SAFE)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
     """Offset, length and content of each gzip member."""
-    at = 0
+    view, at = memoryview(data), 0
     while at < len(data):
-        d = zlib.decompressobj(31)
-        content = d.decompress(memoryview(data)[at:]) + d.flush()
-        end = len(data) - len(d.unused_data)
-        yield at, end - at, content
+        d, out, to = zlib.decompressobj(31), [], at
+        while not d.eof:
+            piece = view[to : to + FEED]
+            if not len(piece):
+                raise ValueError(f"the member at {at} is cut short")
+            out.append(d.decompress(piece))
+            to += len(piece)
+        end = to - len(d.unused_data)
+        yield at, end - at, b"".join(out)
         at = end
 
 
@@ -99,10 +109,10 @@ def parse(content: bytes) -> dict:
     revisit = fields["WARC-Type"] == "revisit"
     if not revisit and (len(payload) != size or base32_sha1(payload) != digest):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    number = lambda s: int(m[1]) if (m := re.search(r"<urn:page:(-?\d+)>", s)) else None
+    number = lambda s: int(s) if s else None
     return {
-        "url_key": url_key(fields["WARC-Target-URI"]), "capture_time": fields["WARC-Date"], "page_id": number(fields["WARC-Record-ID"]), "payload_bytes": size,
-        "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number(fields.get("WARC-Refers-To", "")),
+        "url_key": url_key(fields["WARC-Target-URI"]), "capture_time": fields["WARC-Date"], "page_id": number(fields["X-Page-ID"]), "payload_bytes": size,
+        "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number(fields.get("X-Refers-To-Page", "")),
     }
 
 
@@ -218,8 +228,10 @@ def merge_runs(runs: DataFrame, rows_per_range: int = 200_000) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 slices.setdefault(row["run"], []).append(row)
-        out = []
-        for row in loser_tree([slices[r] for r in sorted(slices)], _order):
+        out, runs = [], [slices[r] for r in sorted(slices)]
+        while len(runs) > MOST_RUNS:
+            runs = [list(loser_tree(runs[k : k + MOST_RUNS], _order)) for k in range(0, len(runs), MOST_RUNS)]
+        for row in loser_tree(runs, _order):
             out.append(row)
             if len(out) == 10_000:
                 yield pa.RecordBatch.from_pylist(out, schema)
@@ -236,5 +248,26 @@ def archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> DataFram
     return merge_runs(capture_runs(write_warc(pages, path, min_revisit_bytes), path))
 
 
+def placed(index: DataFrame) -> DataFrame:
+    """The index with place, the number of captures before each one in global order: its partition's offset, of a row a partition, and its place there."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([part] * x.num_rows, pa.int32()), pa.array(range(at, at + x.num_rows), pa.int64())], names=[*x.schema.names, "part", "at"])
+            at += x.num_rows
+
+    rows = cut(index.mapInArrow(number, INDEX + ", part int, at long"), "warc-index")
+    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, offsets = 0, []
+    for part in sorted(sizes):
+        offsets.append((part, before))
+        before += sizes[part]
+    known = rows.sparkSession.createDataFrame(offsets, "part int, before long")
+    return rows.join(F.broadcast(known), "part").withColumn("place", F.col("before") + F.col("at")).drop("part", "at", "before")
+
+
 def warc_digest(pages: DataFrame) -> DataFrame:
-    return archive(pages, new_path(pages.sparkSession, "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_time")
+    """Of every page its record, its URL key, and its place in the ordered captures of all URLs."""
+    index = placed(archive(pages, new_path(pages.sparkSession, "warc")))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_time", "url_key", "place")

@@ -228,6 +228,39 @@ def test_shuffle_is_a_permutation_and_repeats(spark, tmp_path):
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.15
 
 
+def plain_shuffle(rows, shards, seed, hashes, buckets):
+    """The shuffle on one list: by bucket, sorted, permuted, then ranges of equal size."""
+    order = []
+    for b in range(buckets):
+        own = sorted((r for r in rows if hashes[r] % buckets == b), key=lambda r: (r[0], hashes[r]))
+        order += [own[k] for k in sharding.fisher_yates(len(own), seed, b)]
+    out, at = {}, 0
+    for s in range(shards):
+        n = len(rows) // shards + (s < len(rows) % shards)
+        for k, r in enumerate(order[at : at + n]):
+            out[r] = (s, k)
+        at += n
+    return out
+
+
+def test_shuffle_is_the_plain_one(spark, tmp_path):
+    rows = [(i, f"t{i % 50}" * (i % 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in df.select("*", F.xxhash64(F.lit(9), "doc_id", "text").alias("h")).collect()}
+    buckets = -(-sum(len(t) + 16 for _, t in rows) // 1500)
+    got = {(r["doc_id"], r["text"]): (r["shard"], r["slot"]) for r in sharding.shuffle_into_shards(df, str(tmp_path / "p"), shards=7, seed=9, bucket_bytes=1500).collect()}
+    assert got == plain_shuffle(rows, 7, 9, hashes, buckets)
+
+
+def test_a_hot_row_is_spread(spark, tmp_path):
+    rows = [(1, "same")] * 400 + [(i, f"t{i}") for i in range(2, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.shuffle_into_shards(df, str(tmp_path / "h"), shards=5, bucket_bytes=400).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert len(got) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(200 > n > 30 for n in Counter(r["shard"] for r in got if r["doc_id"] == 1).values())
+
+
 def test_fisher_yates():
     assert sorted(sharding.fisher_yates(50, 1, 2).tolist()) == list(range(50)) and len(sharding.fisher_yates(0, 1, 1)) == 0
     draws = Counter(tuple(sharding.fisher_yates(3, 1, b).tolist()) for b in range(6000))
