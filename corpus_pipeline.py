@@ -1,6 +1,13 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, benchmark decontamination, packing.
 
-Each stage reads what the stage before it wrote and works on all of it. All but the last return the columns of documents.
+Each stage reads what the stage before it wrote and works on all of it. All but the last return the columns of documents,
+whatever these are called; n_chars follows the text where lines go.
+
+Defined cases: documents without words (null or empty text among them) fail the quality rules and go; texts of any length
+are read whole; rows that repeat a doc_id and a text are judged alike up to line dedup, and near-duplicate removal keeps
+one of them; documents with null doc_id are compared like others, and of a group of near duplicates that with the least doc_id
+stays, null first; rows that share a doc_id but not their text are judged by their texts, but go together if one of them
+holds a benchmark item; an empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
