@@ -127,8 +127,10 @@ def filter_of(sigs: DataFrame) -> np.ndarray:
 
 def shared_tokens(posts: DataFrame) -> DataFrame:
     """sig -> its window's shingles that another class has too, rarest first: tokens, and df (in how many classes)."""
-    df = posts.groupBy("token").agg(F.min("sig").alias("a"), F.max("sig").alias("b"), F.count("*").cast("int").alias("df")).where("a <> b").select("token", "df")
-    return posts.join(df, "token").groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t"))
+    # One shuffle of the postings. A shingle of very many classes is one sorted run of a task, which spills; counting first and joining back shuffles all postings twice.
+    w = Window.partitionBy("token")
+    counted = posts.select("token", "sig", F.min("sig").over(w).alias("a"), F.max("sig").over(w).alias("b"), F.count("*").over(w).cast("int").alias("df")).where("a <> b")
+    return counted.groupBy("sig").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t"))
 
 
 def prefixes(shared: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
