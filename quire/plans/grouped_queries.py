@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as kernels
-from quire.operators import cost, evaluate, greedy, ledger, names, sequence, spatial
+from quire.operators import cost, greedy, ledger, sequence, spatial
 from quire.plans.dialect import view
 from quire.sources import formats
 
@@ -58,7 +58,6 @@ _page_kernel("j11_vouched", BOX, lambda p: _rows(p, greedy.vouched(greedy.as_box
 _page_kernel("g8_parent_or_children", BOX, lambda p: _rows(p, greedy.parents_or_children(greedy.as_boxes(p), p.score.tolist())))
 _page_kernel("g7_widest_link", BOX + ", side long", lambda p: _labelled(p, side=greedy.widest_link(greedy.as_boxes(p))))
 _page_kernel("g10_passages", BOX + ", passage long", lambda p: _labelled(p, passage=greedy.stacked(greedy.as_boxes(p))))
-_page_kernel("w5_bands", BOX + ", place long", lambda p: _placed(p, greedy.bands(greedy.as_boxes(p))))
 _page_kernel("w13_spoken_first", BOX + ", place long", lambda p: _placed(p, greedy.spoken_first(greedy.as_boxes(p))))
 _page_kernel("w14_reading_order", BOX + ", place long", lambda p: _placed(p, greedy.reading_order(greedy.as_boxes(p))))
 _page_kernel("a27_snapped_colours", BOX + ", r long, g long, b long", lambda p: _colours(p))
@@ -158,35 +157,6 @@ def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.per_page(view(spark, sf_dir, "boxes"), kernel, BOX)
 
 
-@query("w6_nearest_cuts")
-def w6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        flat = [i for i, f in enumerate(p.sort_values("row_no").flat) if f]
-        return pd.DataFrame([(int(p.strip_id.iloc[0]), n, c) for n, c in enumerate(greedy.nearest_cuts(flat, 4, 6, len(p)))], columns=["strip_id", "n", "at_row"])
-
-    return view(spark, sf_dir, "flags").groupBy("strip_id").applyInPandas(kernel, "strip_id long, n long, at_row long")
-
-
-@query("j19_known_names")
-def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of one document against those known from more: equal canonical forms meet, and forms one edit apart share a form with a letter left out."""
-    words = view(spark, sf_dir, "tokens").where("length(tok) >= 8").groupBy(F.lower("tok").alias("w")).agg(F.countDistinct("doc_id").alias("docs"))
-
-    def keyed(batches):
-        for x in batches:
-            rows = []
-            for w, docs in zip(x.w, x.docs):
-                form = names.canonical(w)
-                rows += [(w, docs, form, k) for k in {form, *(form[:i] + form[i + 1 :] for i in range(len(form)) if len(form) >= 5)}]
-            yield pd.DataFrame(rows, columns=["w", "docs", "form", "k"])
-
-    forms = words.mapInPandas(keyed, "w string, docs long, form string, k string")
-    known = forms.where("docs >= 3").select("k", F.col("w").alias("known"), F.col("form").alias("known_form"))
-    pairs = forms.where("docs = 1").join(known, "k").select("w", "form", "known", "known_form").distinct()
-    near = (F.col("form") == F.col("known_form")) | ((F.least(F.length("form"), F.length("known_form")) >= 5) & (F.levenshtein("form", "known_form") <= 1))
-    return pairs.where(near).groupBy("w").agg(F.min("known").alias("known"))
-
-
 @query("j21_name_drift")
 def j21(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = view(spark, sf_dir, "tokens").where("length(tok) >= 9").select("doc_id", F.lower("tok").alias("w")).distinct()
@@ -195,48 +165,28 @@ def j21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return close.groupBy("doc_id", "w").agg(F.min("used").alias("used"))
 
 
-@query("a10_chrf")
-def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = view(spark, sf_dir, "said")
-    nxt = F.lead("text").over(Window.partitionBy("page_id").orderBy("ord"))
-    return evaluate.chrf(lines.select(F.col("text").alias("hypothesis"), nxt.alias("reference")).where("reference is not null"))
-
-
-@query("a11_persons")
-def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    person = F.udf(lambda t: sorted(evaluate.persons(t)), "array<int>")
-    return view(spark, sf_dir, "said").select("page_id", "ord", F.explode(person("text")).alias("person")).groupBy("person").count()
-
-
-@query("f3_comparison_form")
-def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "said").select("page_id", "ord", kernels.nfkc("text").alias("form"))
-
-
 @query("f5_json_repair")
 def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
     loose = F.concat(F.lit("```json\n{page: "), F.col("page_id"), F.lit(", 'speaker': \""), F.col("speaker"), F.lit("\", }\n```"))
     return view(spark, sf_dir, "lines").select("page_id", "ord", kernels.json_repair(loose).alias("json"))
 
 
-@query("f7_hyphenation")
-def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = dict(map(kernels.pattern_of, ("t1h", "n1d", "e1r", "1tion", "a1t", "r1e")))
-    hyphens = F.udf(lambda w: kernels.break_points(w, patterns), "array<int>")
-    return view(spark, sf_dir, "tokens").select(F.lower("tok").alias("word")).distinct().select("word", hyphens("word").alias("points"))
-
-
-@query("f8_own_breaks")
+@query("f8_own_breaks", oracle="select page_id, ord, list_value(concat(speaker, '-'), speaker) parts from lines")
 def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.udf(kernels.own_breaks, "array<string>")
-    return view(spark, sf_dir, "lines").select("page_id", "ord", parts(F.concat_ws("-", "speaker", "speaker")).alias("parts"))
+    return view(spark, sf_dir, "lines").select("page_id", "ord", kernels.author_breaks(F.concat_ws("-", "speaker", "speaker")).alias("parts"))
 
 
 @query("f9_broken_lines")
 def f9(spark: SparkSession, sf_dir: str) -> DataFrame:
     least, broken = kernels.wrapped, kernels.broken_lines
-    fit = F.udf(lambda t: broken(t.split(), [80.0] * ((least(t.split(), 80.0) or 0) + 1)), "array<string>")
-    return view(spark, sf_dir, "said").select("page_id", "ord", fit("text").alias("lines"))
+
+    def run(batches):
+        for x in batches:
+            fit = [broken(t.split(), [80.0] * ((least(t.split(), 80.0) or 0) + 1)) for t in x.text]
+            yield pd.DataFrame({"page_id": x.page_id, "ord": x.ord, "lines": fit})
+
+    rows = view(spark, sf_dir, "said").select("page_id", F.col("ord").cast("long").alias("ord"), "text")
+    return rows.mapInPandas(run, "page_id long, ord long, lines array<string>")
 
 
 @query("s4_documents_round_trip", oracle="select page_id, ord, speaker, text from lines")
@@ -247,32 +197,6 @@ def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", F.col("ord").cast(dict(view(spark, sf_dir, "lines").dtypes)["ord"]).alias("ord"), "speaker", "text")
 
 
-@query("s12_template_round_trip", oracle="select cast(page_id as varchar) page, cast(ord + 1 as integer) n, trim(speaker) english from lines")
-def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S11 and S12: a template, filled in, read back."""
-    lines = view(spark, sf_dir, "lines")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        text = formats.template([(str(p), int(o) + 1, "", s) for p, o, s in zip(rows.page_id, rows.ord, rows.speaker)])
-        return pd.DataFrame(formats.filled_in(text), columns=["page", "n", "english"])
-
-    return lines.groupBy("page_id").applyInPandas(run, "page string, n int, english string")
-
-
-@query("m2_people_merge")
-def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Additions of one series in order; a series is a group of a few hundred names."""
-    words = view(spark, sf_dir, "tokens").where("length(tok) >= 9").select((F.col("doc_id") % 50).alias("series"), "doc_id", "tok").distinct()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "tok"])
-        sheet, refused = names.merged_people({}, [(t, "") for t in rows.tok], {t.lower() for t in rows.tok[rows.doc_id % 3 != 0]}, set())
-        return pd.DataFrame([(int(rows.series.iloc[0]), n, "set") for n in sheet] + [(int(rows.series.iloc[0]), n, why) for n, why in refused], columns=["series", "name", "outcome"])
-
-    return words.groupBy("series").applyInPandas(run, "series long, name string, outcome string")
-
-
 def account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "ledger")
     kind = F.when(F.col("kind") == "meter", "refund").otherwise(F.col("kind"))
@@ -296,11 +220,9 @@ def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataFrame:
-    import uuid
-
     from quire.streaming.ledger_stream import collected
 
-    return collected(df, spark, f"{name}_{uuid.uuid4().hex}", _scratch(spark, f"{name}-log"), mode)
+    return collected(df, spark, _scratch(spark, name), mode)
 
 
 @query("t11_stream_windows", oracle="select event_type, {epoch(ts)} {div} 86400 day_, count(*) n from @events group by 1, 2")
@@ -360,29 +282,31 @@ def o10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and sizes of the files of the supplied tables, in natural order, without their contents."""
     found = formats.images(spark, sf_dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-    return found.withColumn("place", F.row_number().over(Window.orderBy(formats.natural_key("name"), "name", "length")).cast("long"))
+    return found.withColumn("key", F.array_join(F.transform(formats.natural_key("name"), lambda x: x), " "))
 
 
-@query("s10_font_paths")
+@query("s10_font_paths", oracle="select box_id, json_object('font', kind, 'style', json_object('size', score, 'title_font', 'b')) document from boxes")
 def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Font paths at any depth of a document, made relative."""
-    rewrite = F.udf(lambda d: _relative_fonts(d), "string")
-    doc = F.to_json(F.struct(F.concat(F.lit("/fonts/"), "kind").alias("font"), F.struct(F.lit("/fonts/b").alias("title_font"), F.col("score").alias("size")).alias("style")))
-    return view(spark, sf_dir, "boxes").select("box_id", rewrite(doc).alias("document"))
-
 
-def _relative_fonts(document: str) -> str:
-    import json
+    def run(batches):
+        for x in batches:
+            yield pd.DataFrame({"box_id": x.box_id, "document": [formats.with_fonts_in(t, lambda v: v.removeprefix("/fonts/")) for t in x.document]})
 
-    return json.dumps(formats.with_fonts(json.loads(document), lambda v: v.removeprefix("/fonts/")), sort_keys=True)
+    doc = F.to_json(F.struct(F.concat(F.lit("/fonts/"), "kind").alias("font"), F.struct(F.lit("/fonts/b").alias("title_font"), F.col("score").alias("size")).alias("style")))
+    return view(spark, sf_dir, "boxes").select("box_id", doc.alias("document")).mapInPandas(run, "box_id long, document string")
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the folder that driver and executors share; a local one where none is named, as in tests."""
+    """A new folder in the folder that driver and executors share; in a local session a local one where none is named, as in tests."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quire-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: this needs a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='quire-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -409,26 +333,6 @@ def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back["lines"].join(back["pages"], "page_id").select("page_id", "ord", "speaker", "n")
 
 
-@query("s23_hyphenation_patterns")
-def s23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pattern file of the user's: here each word of three or four letters with a digit after its second."""
-    pattern = kernels.pattern_of
-    parse = F.udf(lambda line: tuple(pattern(line)), "struct<letters:string,digits:array<int>>")
-    lines = view(spark, sf_dir, "tokens").where("length(tok) <= 4").select(F.lower("tok").alias("w")).distinct()
-    return lines.select(parse(F.concat(F.substring("w", 1, 2), F.lit("1"), F.expr("substring(w, 3)"))).alias("p")).select("p.*")
-
-
-@query("f6_canonical_forms")
-def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    form = names.canonical
-
-    def run(batches):
-        for x in batches:
-            yield pd.DataFrame({"word": x.word, "form": [form(w) for w in x.word]})
-
-    return view(spark, sf_dir, "tokens").select(F.col("tok").alias("word")).distinct().mapInPandas(run, "word string, form string")
-
-
 @query("t7_saved_by_batch", oracle="select event_id, event_type from @events")
 def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each batch of a stream is written under its number, so that a batch that runs again replaces itself."""
@@ -473,11 +377,11 @@ QUERIES |= {
     "w3_gutters": lambda s, d: sequence.islands(view(s, d, "flags")),
     "w4_interval_gaps": lambda s, d: sequence.interval_gaps(_boxes(s, d)),
     "w9_last_lines": lambda s, d: sequence.last_of_each(view(s, d, "said")).select("page_id", "ord", "speaker"),
-    "w10_first_rendering": lambda s, d: sequence.first_of_each(view(s, d, "tokens").where("length(tok) >= 6").withColumn("term", F.lower("tok")), "term", ["doc_id", "tok"]),
+    "w10_first_rendering": lambda s, d: sequence.first_of_each(view(s, d, "tokens").withColumn("term", F.lower("tok")), "term", ["doc_id", "tok"]),
     "w12_running_balance": lambda s, d: sequence.running_balance(view(s, d, "ledger")),
     "s21_user_receipt": lambda s, d: sequence.newest(view(s, d, "ledger"), ["uid"], ["seq"], 5).select("uid", "seq", "kind", "coins"),
     "j18_longest_prefix": lambda s, d: cost.longest_prefix(view(s, d, "meter").select("model").union(s.createDataFrame([("x9",)], "model string")), view(s, d, "rates")),
-    "a15_drift_report": lambda s, d: cost.drift(view(s, d, "meter")),
+    "a15_drift_report": lambda s, d: cost.ratios(view(s, d, "meter")),
     "a17_accuracy": lambda s, d: cost.accuracy(view(s, d, "meter")),
     "m10_hold_and_settle": lambda s, d: cost.settled(view(s, d, "meter")),
     "a23_balance": lambda s, d: ledger.balances(view(s, d, "ledger")),

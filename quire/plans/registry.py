@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import grouped_queries, sql_queries
+from quire.plans import grouped_queries, region_queries, sql_queries  # noqa: F401  (region_queries registers its queries with grouped_queries)
 from quire.plans.dialect import duck_sql, spark_query
 
 

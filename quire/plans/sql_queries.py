@@ -15,8 +15,7 @@ _add(
     s2_rescan_keeps_prior_work="""
       select p.page_id, coalesce(s.n, 0) n_boxes, s.page_id is null is_new from (select distinct page_id from @pages) p
       left join (select page_id, count(*) n from boxes group by page_id) s on p.page_id = s.page_id""",
-    s3_natural_sort=f"select page_id, cast(row_number() over (order by natural_key, url, page_id) as bigint) place from (select page_id, url, {NATURAL} natural_key from @pages) p",
-    s8_redaction="select event_id, case when event_type = 'purchase' then '' else props end props from @events where not (event_type = 'purchase' and props in ('set', 'env'))",
+    s3_natural_sort=f"select page_id, cast(row_number() over (partition by folder order by natural_key, url, page_id) as bigint) place from (select page_id, url, regexp_extract(url, '^[a-z]+://([^/]*)', 1) folder, {NATURAL} natural_key from @pages) p",
     s9_safe_paths="""
       select page_id, {join}({keep({map(regexp_extract_all(path, '[^/]+', 0); s; s)}; s; s not in ('', '.', '..') and {strpos}(s, ':') = 0)}, '/') safe
       from (select page_id, concat('../', url, '/./', cast(page_id as {str})) path from @pages) p""",
@@ -32,20 +31,12 @@ _add(
     s17_proofread_report="""
       select page_id, concat('## ', cast(page_id as {str}), ' (', cast(count(*) as {str}), ')') heading, {agg(concat('- ', speaker, ': ', trim(text)); ~; ord)} body,
       cast(sum(case when trim(coalesce(text, '')) = '' then 1 else 0 end) as bigint) todo from lines group by page_id""",
-    s18_env_precedence="""
-      select user_id, max(case when r = 1 then v end) answer from (
-        select user_id, v, row_number() over (partition by user_id order by source, event_id) r from (
-          select user_id, event_id, case event_type when 'signup' then 1 when 'purchase' then 2 when 'click' then 3 else 4 end source, regexp_extract(props, ': ([0-9]+)', 1) v from @events) e
-        where v <> '') f group by user_id""",
     s19_recent_first="""
       select user_id, event_type, cast(r as bigint) place from (
         select user_id, event_type, row_number() over (partition by user_id order by last desc, event_type) r from (
           select user_id, event_type, max(event_id) last from @events group by user_id, event_type) m) k where r <= 3""",
-    s20_ledger_newest_400="select seq, uid, kind, coins from (select *, row_number() over (order by seq desc) r from ledger) l where r <= 400",
+    s20_ledger_newest_400="select seq, uid, kind, coins from ledger order by seq desc limit 400",
     s21_user_receipt="select uid, seq, kind, coins from (select *, row_number() over (partition by uid order by seq desc) r from ledger) l where r <= least(100, greatest(1, 5))",
-    s22_config_keeps_old_values="""
-      select coalesce(n.k, o.k) k, coalesce(n.v, o.v) v from (select event_type k, max(event_id) v from @events group by event_type) o
-      full outer join (select event_type k, max(case when user_id % 2 = 0 then event_id end) v from @events where event_type <> 'view' group by event_type union all select 'extra', 1) n on o.k = n.k""",
     s25_external_answers="""
       select l.page_id, l.ord, coalesce(a.answer, b.answer) answer from lines l
       left join (select page_id, ord, upper(speaker) answer from lines where ord % 2 = 0) a on a.page_id = l.page_id and a.ord = l.ord
@@ -63,36 +54,17 @@ _add(
       select box_id from boxes b where exists (select 1 from families f where f.kind = b.kind and f.family in ('speech', 'sound'))
       or not exists (select 1 from families f where f.family in ('speech', 'sound'))""",
     p5_drop_big_sfx="select box_id, kind, w, h from boxes where not (kind = 'sfx' and greatest(w, h) >= 0.3 * 480)",
-    p6_symbol_only="""
-      select page_id, ord, not {like}(t, '[A-Za-z0-9]') and t <> '' symbol_only from (
-        select page_id, ord, trim(case when ord % 6 = 1 then regexp_replace(text, '[A-Za-z0-9]+', ''{g}) else text end) t from lines where {like}(text, '^[ -~]*$')) l""",
     p7_empty_read_guard="""
       select page_id, ord from (select *, max(case when trim(t) <> '' then 1 else 0 end) over (partition by page_id) any_read from (
         select page_id, ord, case when ord % 3 = 0 or page_id % 4 = 0 then '' else coalesce(text, '') end t from lines) a) b where not (trim(t) = '' and any_read = 1)""",
-    p8_garbage_gate="""
-      select page_id, ord, case when trim(t) = '' then 'empty' when not {like}(t, '[A-Za-z0-9]') then 'punctuation only' when {like}(t, 'aaaaaaa|eeeeeee|!!!!!!!') then 'repeated'
-        when length(regexp_replace(t, '[ ]+', ''{g})) > 30 and length(regexp_replace(t, '[ ]+', ''{g})) > ink / 12.0 then 'too long for its ink' else 'kept' end verdict
-      from (select page_id, ord, (page_id * 97 + ord * 31) % 1500 ink, case ord % 7 when 0 then '' when 1 then '!?' when 2 then concat(speaker, ' aaaaaaaaa') else speaker || ' ' || speaker || ' ' || speaker || ' ' || speaker || ' ' || speaker end t from lines) l""",
-    p10_page_status="""
-      select page_id, case when count(*) = 0 then 'pending' when bool_and(done) then 'translated' when bool_or(read_) then 'read' else 'detected' end status
-      from (select page_id, ord % 3 <> 2 or page_id % 2 = 0 done, ord % 2 = 0 read_ from lines) l group by page_id""",
     p11_retype_guard="select box_id, case when kind in ('sfx', 'freefloat') and score % 3 = 0 then case kind when 'sfx' then 'freefloat' else 'sfx' end else kind end kind from boxes",
     p12_label_acceptance="""
       select b.box_id, a.label from boxes b join (select box_id, case box_id % 4 when 0 then 'bubble' when 1 then 'sfx' when 2 then 'freefloat' else 'odd' end label, box_id % 5 <> 0 sure from boxes union all select -1, 'sfx', true) a
       on a.box_id = b.box_id join families f on f.kind = a.label join families g on g.kind = b.kind where a.sure and f.family = g.family""",
-    p13_angles="""
-      select box_id, cast(case when kind = 'sfx' and not measured and abs(seen - angle) > 0.05 then seen else angle end as double) angle
-      from (select box_id, kind, score % 9 = 0 measured, cast(x % 30 as double) angle, cast(y % 30 as double) seen from boxes) b""",
-    p14_default_on="select event_id, coalesce(flag, true) enabled from (select event_id, case event_id % 3 when 0 then true when 1 then false end flag from @events) e",
     p15_model_menu="""
       select m.step, m.model from (select distinct step, model from meter where step <> 'refund') m join (select distinct model from meter where boxes > 10) reachable on reachable.model = m.model
       where m.model <> 'm2' and not exists (select 1 from rates r where r.prefix = m.model and r.tin > 5)""",
-    p16_line_quality_flags="""
-      select page_id, ord, case when masks then 'masked word' when loud then 'quieter' when stops then 'stops short' when wide then 'too long' end note from (
-        select page_id, ord, {like}(dst, '[*]{2,}') masks, {like}(src, '!!') and not {like}(dst, '!!') loud, {like}(src, '[.]{3}$') and {like}(dst, '[.]$') and not {like}(dst, '[.]{3}$') stops, length(dst) > 1.25 * length(src) wide
-        from (select page_id, ord, concat(speaker, case ord % 3 when 0 then '!!' when 1 then '...' else '' end) src, concat(speaker, case page_id % 4 when 0 then '**' when 1 then '.' when 2 then ' and then some more' else '!!' end) dst from lines) a) b""",
     p17_proofread_rows="select page_id, ord, text from lines where trim(coalesce(text, '')) <> '' and speaker <> 'system'",
-    p18_generic_speaker="select page_id, ord, speaker in ('user', 'system', '') generic from lines",
     p19_reads_on="""
       select page_id, ord, coalesce({like}(regexp_replace(trim(text), '["”]+$', ''), '(-|—|[.]{3}|…)$') or {like}(nxt, '^(-|—|[.]{3}|…)'), false) and not {like}(trim(text), '[!?]$') reads_on
       from (select *, lead(text) over (partition by page_id order by ord) nxt from (select page_id, ord, concat(trim(coalesce(text, '')), case ord % 4 when 0 then '...' when 1 then '!' else '' end) text from lines) z) l""",
@@ -101,9 +73,6 @@ _add(
         when {like}(name, '[_.-][_.-]') then 'doubled' when name in ('admin', 'root') then 'reserved' else 'ok' end verdict
       from (select distinct concat(event_type, case user_id % 6 when 0 then '__' when 1 then '_x' when 2 then '.' when 3 then ' a' when 4 then '_a_very_long_name_indeed' else '' end) name from @events union all select 'root' union all select 'ab') n""",
     p21_whole_numbers="select event_id, value = floor(value) is_whole, {like}(concat('price_', cast(event_id as {str})), '^price_[0-9]{2,}$') price_id from @events",
-    p22_retired_notes="""
-      select box_id, case when trim(note) = '' then null else trim(note) end note from (
-        select box_id, regexp_replace(regexp_replace(concat(case when box_id % 2 = 0 then 'old note. ' else '' end, case when box_id % 3 = 0 then 'keep me. keep me. ' else '' end), 'old note[.] ', ''{g}), '(keep me[.] )(keep me[.] )+', '{1}'{g}) note from boxes) b""",
     p23_text_likeness="""
       select page_id, round(0.20 * least(1.0, n / 8.0) + 0.28 * (1 - least(1.0, sd_h / avg_h)) + 0.30 * (1 - least(1.0, sd_y / 300.0)) + 0.22 * (1 - least(1.0, sd_w / avg_w)), 6) likeness
       from (select page_id, count(*) n, stddev_pop(h) sd_h, avg(h) avg_h, stddev_pop(y) sd_y, stddev_pop(w) sd_w, avg(w) avg_w from boxes group by page_id) s""",
@@ -142,8 +111,6 @@ _add(
       select distinct a.c word, b.c near from v a join v b on a.k = b.k and a.c <> b.c where greatest(length(a.c), length(b.c)) >= 4 and levenshtein(a.c, b.c) = 1""",
     j22_two_runs="""
       select a.page_id, a.ord, a.text ref, b.text cand from said a join (select page_id, ord, lower(text) text from said where ord % 3 <> 0) b on a.page_id = b.page_id and a.ord = b.ord""",
-    j23_page_alias="""
-      select alias, min(page_id) page_id from (select page_id, lower(url) alias from @pages union all select page_id, lower(regexp_extract(url, '([^/]+)$', 1)) from @pages) a where alias <> '' group by alias""",
     j24_boxes_under="select page_id, box_id from boxes where x < 180 and x + w > 60 and y < 200 and y + h > 90",
     j25_pixel_owner="""
       select page_id, gx, gy, box_id from (select b.page_id, gx, gy, b.box_id, row_number() over (partition by b.page_id, gx, gy order by (2*gx - 2*b.x - b.w)*(2*gx - 2*b.x - b.w) + (2*gy - 2*b.y - b.h)*(2*gy - 2*b.y - b.h), b.box_id) r
@@ -153,41 +120,21 @@ _add(
       select page_id, least(2, greatest(0, cx {div} 160)) col, least(2, greatest(0, cy {div} 160)) row_, count(*) n, min(x) x0, min(y) y0, max(x + w) x1, max(y + h) y1
       from (select *, x + w {div} 2 cx, y + h {div} 2 cy from boxes) b group by 1, 2, 3""",
     j28_neighbours_in_crop="select a.box_id, count(*) neighbours from boxes a join boxes b on a.page_id = b.page_id and b.x < a.x + a.w + 20 and b.x + b.w > a.x - 20 and b.y < a.y + a.h + 20 and b.y + b.h > a.y - 20 group by a.box_id",
-    j29_seam_continuity="""
-      select strip_id, row_no from (select strip_id, row_no, (row_no * 29) % 60 std, lead((row_no * 29) % 60) over (partition by strip_id order by row_no) nxt_std, (row_no * 13) % 64 edge, lead((row_no * 17) % 64) over (partition by strip_id order by row_no) nxt from flags) f
-      where std >= 20 and nxt_std >= 20 and abs(edge - nxt) < 16""",
     j30_reachable_and_priced="select distinct m.model, r.tin from meter m join rates r on r.prefix = m.model where m.boxes >= 20",
 )
 
 # Set operations ------------------------------------------------------------------------------------------------------------
 _add(
     u1_union_of_passes="select page_id, box_id, min(pass) pass from (select page_id, box_id, 1 pass from boxes where score > 300 union all select page_id, box_id, 2 from boxes where kind <> 'sfx') u group by page_id, box_id",
-    u2_ordered_set_union="""
-      select label, cast(place as bigint) place from (select label, row_number() over (order by first_page, label) place from (select lower(tok) label, min(doc_id) first_page from tokens where {like}({substr}(tok, 1, 1), '[A-Z]') group by lower(tok)) a) b where place <= 60""",
     u3_symmetric_difference="select coalesce(a.kind, b.kind) kind, coalesce(a.page_id, b.page_id) page_id from (select distinct page_id, kind from boxes where score < 500) a full outer join (select distinct page_id, kind from boxes where score >= 500) b on a.page_id = b.page_id and a.kind = b.kind where a.kind is null or b.kind is null",
     u4_missing_and_extra="select page_id, 'missing' side from (select page_id from lines except select page_id from boxes) m union all select page_id, 'extra' from (select page_id from boxes except select page_id from lines) e",
     u5_distinct_cuts="select strip_id, cut from (select distinct strip_id, row_no {div} 100 cut from flags) c",
     u6_menu_arithmetic="(select model from meter where step = 'click' intersect select model from meter where step = 'view') except select prefix from rates",
-    u7_keys_once_offered="select k, max(seeded) seeded from (select event_type k, 1 seeded from @events where user_id % 2 = 0 union all select event_type, 0 from @events) e group by k",
 )
 
 # Aggregations --------------------------------------------------------------------------------------------------------------
 _add(
-    a1_page_tally="""
-      select page_id, count(*) boxes, cast(sum(case when kind = 'bubble' then 1 else 0 end) as bigint) bubbles, cast(sum(case when kind = 'sfx' then 1 else 0 end) as bigint) sfx, cast(sum(case when score < 350 then 1 else 0 end) as bigint) flagged,
-        case when max(score) < 350 then 'detected' when min(score) >= 350 then 'done' else 'read' end status from boxes where box_id % 7 <> 0 group by page_id""",
-    a2_run_report="select count(*) regions, cast(sum(case when w * h < 4000 then 1 else 0 end) as bigint) compact, cast(sum(case when x + w > 400 then 1 else 0 end) as bigint) overflow, cast(sum(case when score < 350 then 1 else 0 end) as bigint) flagged from boxes",
-    a3_clean_report="""
-      select route, count(*) n, cast(sum(case when score % 2 = 0 then 1 else 0 end) as bigint) second_pass from (select score, case score % 6 when 0 then 'skipped' when 1 then 'kept' when 2 then 'flat' when 3 then 'tone' else 'redraw' end route from boxes) b where route not in ('skipped', 'kept') group by route""",
-    a4_name_variants="""
-      with named as (select doc_id, tok, lower(tok) low from tokens where {like}({substr}(tok, 1, 1), '[A-Z]')), lower_seen as (select distinct tok low from tokens where tok = lower(tok)),
-      keyed as (select doc_id, tok, low, regexp_replace(regexp_replace(replace(replace(low, 'l', 'r'), 'v', 'b'), 'ou', 'o'{g}), '(aa+|oo+|uu+|ee+|ii+)', 'a'{g}) canon from named where low not in (select low from lower_seen))
-      select canon, count(distinct low) variants, count(*) uses, min(low) first_low from keyed group by canon having count(distinct low) > 1""",
     a6_untranslated="select page_id, count(*) n from lines where trim(coalesce(text, '')) <> '' and speaker = 'user' group by page_id",
-    a7_observed_lowercase="select distinct tok from tokens where tok = lower(tok)",
-    a8_proper_names="""
-      select name, min(doc_id) first_doc, count(*) n from (select doc_id, tok name from (select doc_id, {each}(regexp_extract_all(text, '[a-z,;] [A-Z][a-z]+', 0)) m, 1 one from @documents) e cross join (select 1 one2) o, lateral (select {substr}(m, 3) tok) t where length({substr}(m, 3)) > 2) q
-      where lower(name) not in (select tok from tokens where tok = lower(tok)) group by name""".replace(" cross join (select 1 one2) o, lateral (select {substr}(m, 3) tok) t", "").replace("tok name from", "{substr}(m, 3) name from"),
     a9_name_table="select a.tok source, lower(b.tok) target, count(*) n from (select doc_id, tok from tokens where length(tok) >= 9) a join (select doc_id, tok from tokens where length(tok) >= 9) b on a.doc_id = b.doc_id and a.tok < b.tok group by a.tok, lower(b.tok) having count(*) >= 2",
     a12_exact_matches="select count(*) n, cast(sum(case when lower(trim(a.text)) = lower(trim(b.text)) then 1 else 0 end) as bigint) exact from said a join (select page_id, ord, case when ord % 2 = 0 then lower(text) else concat(text, 'x') end text from said) b on a.page_id = b.page_id and a.ord = b.ord",
     a13_cost_of_a_run="select step, model, cast(ceil(sum(predicted * coalesce(r.tin, 3) + metered * coalesce(r.tout, 15)) / 1000.0) as bigint) coins from meter m left join rates r on r.prefix = m.model group by step, model",
@@ -195,22 +142,12 @@ _add(
     a15_drift_report="""
       with newest as (select *, row_number() over (partition by step, model order by seq desc) r from meter where boxes >= 20)
       select step, model, count(*) runs, cast(sum(metered) as bigint) metered, cast(sum(predicted) as bigint) predicted, cast(least(250, greatest(20, (100 * sum(metered)) {div} sum(predicted))) as bigint) percent from newest where r <= 8 group by step, model""",
-    a16_meter_evidence="""
-      select step, model, case when max(think) > 0 then true when max(think) = 0 then false end thinks from (select step, model, case when seq % 3 = 0 then null else (seq % 5) {div} 4 end think, row_number() over (partition by step, model order by seq desc) r from meter where boxes >= 20) m where r <= 8 group by step, model""",
     a17_accuracy="select step, model, count(*) runs, cast(sum(boxes) as bigint) boxes, cast(sum(predicted) as bigint) charged, cast(sum(metered) as bigint) really from meter group by step, model",
-    a18_bill="select model, cast(sum(case when seq % 4 = 0 then metered else predicted end) as bigint) cost, cast(count(case when seq % 4 = 0 then 1 end) as bigint) reported, cast(sum(metered) as bigint) tokens from meter group by model",
-    a19_usage_shapes="select event_id, coalesce(a, b, 0) tokens, case when a is not null then a - cached else b end net from (select event_id, case when event_id % 2 = 0 then event_id * 10 end a, case when event_id % 2 = 1 then event_id * 7 end b, event_id % 10 cached from @events) e",
-    a20_token_estimate="""
-      select doc_id, cast(round(1.25 * {size}(regexp_extract_all(text, '[A-Za-z]+', 0)) + 0.63 * {size}(regexp_extract_all(text, '[.,!?;:]', 0)) - 0.001) as bigint) tokens from @documents""",
     a21_pictures="select page_id, count(*) boxes, cast(case when count(*) < 5 then 1 when count(*) < 9 then 4 when count(*) < 12 then 9 else count(*) end as bigint) pictures from boxes group by page_id",
-    a22_reply_cap="select step, model, cast(least(8000, greatest(1500, 2 * max(predicted))) as bigint) cap from meter group by step, model",
     a23_balance="select uid, cast(sum(case kind when 'credit' then coins when 'spend' then -coins else 0 end) as bigint) balance from ledger group by uid",
     a24_one_per_price="select model, predicted from (select model, predicted, row_number() over (partition by predicted order by seq) r from meter) m where r = 1 or model = 'm3'",
-    a25_three_points="""
-      select step, model, p1 - p0 per_box, p0 base from (select step, model, min(case when boxes = 1 then predicted end) p0, min(case when boxes = 2 then predicted end) p1 from meter group by step, model) m where p0 is not null and p1 is not null""",
     a26_median_cap="""
       select b.box_id, least(b.h, m.cap) size from boxes b join (select page_id, greatest(20, cast(floor(1.1 * median(h)) as bigint)) cap from boxes where kind <> 'sfx' group by page_id having count(*) >= 4) m on m.page_id = b.page_id where b.kind <> 'sfx'""",
-    a28_page_cost="select page_id, count(*) loads, cast(sum(ms) as bigint) ms from (select user_id page_id, (event_id * 37) % 900 ms from @events) e where ms > 500 group by page_id",
     a29_box_and_character_counts="select page_id, count(*) n, cast(sum(length(text)) as bigint) characters from lines group by page_id",
 )
 
@@ -227,9 +164,9 @@ _add(
       select page_id, box_id, cast(floor(4.0 * (upto - h) / total) as bigint) part from (select page_id, box_id, h, sum(h) over (partition by page_id order by box_id) upto, sum(h) over (partition by page_id) total from boxes) b""",
     w8_range_min_max="select strip_id, row_no, min((row_no*13)%97) over (partition by strip_id order by row_no rows between 3 preceding and 3 following) low, max((row_no*13)%97) over (partition by strip_id order by row_no rows between 3 preceding and 3 following) high from flags",
     w9_last_lines="select page_id, ord, speaker from (select *, row_number() over (partition by page_id order by ord desc) r from said) s where r <= 6",
-    w10_first_rendering="select term, doc_id, tok from (select lower(tok) term, doc_id, tok, row_number() over (partition by lower(tok) order by doc_id, tok) r from tokens where length(tok) >= 6) t where r = 1",
+    w10_first_rendering="select term, doc_id, tok from (select lower(tok) term, doc_id, tok, row_number() over (partition by lower(tok) order by doc_id, tok) r from tokens) t where r = 1",
     w11_conflict_with_earlier="""
-      select term, doc_id, tok, before_ from (select lower(tok) term, doc_id, tok, first_value(tok) over (partition by lower(tok) order by doc_id, tok) before_, min(doc_id) over (partition by lower(tok)) first_doc from (select distinct doc_id, tok from tokens where length(tok) >= 6) d) t where tok <> before_ and doc_id > first_doc""",
+      select term, doc_id, tok, before_ from (select lower(tok) term, doc_id, tok, first_value(tok) over (partition by lower(tok) order by doc_id, tok) before_, min(doc_id) over (partition by lower(tok)) first_doc from (select distinct doc_id, tok from tokens) d) t where tok <> before_ and doc_id > first_doc""",
     w12_running_balance="select uid, seq, cast(sum(case kind when 'credit' then coins when 'spend' then -coins else 0 end) over (partition by uid order by seq) as bigint) balance from ledger",
 )
 
@@ -238,38 +175,22 @@ _add(
     o1_natural_order=f"select page_id, {NATURAL} natural_key from @pages",
     o2_keep_newest="select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) r from @events) e where r <= 3",
     o3_largest_first="select page_id, box_id, cast(row_number() over (partition by page_id order by w * h desc, box_id) as bigint) place from boxes",
-    o4_menu_order="select model, cast(row_number() over (order by coalesce(tin, 1000000), model) as bigint) place from (select distinct model from meter) m left join rates r on r.prefix = m.model",
+    o4_menu_order="select step, model, cast(row_number() over (partition by step order by coalesce(tin, 1000000), model) as bigint) place from (select distinct step, model from meter) m left join rates r on r.prefix = m.model",
     o5_newest_receipt="select seq, uid, coins from ledger order by seq desc limit 100",
-    o6_first_references="select low, {agg(cast(doc_id as {str}); ,; doc_id)} refs from (select low, doc_id, row_number() over (partition by low order by doc_id) r from (select distinct lower(tok) low, doc_id from tokens where length(tok) >= 8) d) e where r <= 4 group by low",
+    o6_first_references="select low, {agg(cast(doc_id as {str}); ,; doc_id)} refs from (select low, doc_id, row_number() over (partition by low order by doc_id) r from (select distinct lower(tok) low, doc_id from tokens) d) e where r <= 4 group by low",
     o7_permutation="select page_id, count(distinct o) = count(*) and min(o) = 0 and max(o) = count(*) - 1 is_permutation from (select page_id, case when page_id % 3 = 0 then ord else ord * 2 end o from lines) l group by page_id",
     o8_queue_reorder="select user_id, event_id, cast(row_number() over (partition by user_id order by case when place = 2 then 1 when place = 1 then 2 else place end) as bigint) place from (select user_id, event_id, row_number() over (partition by user_id order by event_id) place from @events where event_type <> 'refund') q",
     o9_version_order="""
-      select v, cast(rank() over (order by a, b, c) as bigint) place from (select v, coalesce(try_cast(regexp_extract(v, '^([0-9]+)', 1) as bigint), -1) a, coalesce(try_cast(regexp_extract(v, '^[0-9]+[.]([0-9]+)', 1) as bigint), 0) b, coalesce(try_cast(regexp_extract(v, '^[0-9]+[.][0-9]+[.]([0-9]+)', 1) as bigint), 0) c
+      select v, a, b, c, a > 5 or (a = 5 and (b > 3 or (b = 3 and c > 1))) newer from (select v, coalesce(try_cast(regexp_extract(v, '^([0-9]+)', 1) as bigint), -1) a, coalesce(try_cast(regexp_extract(v, '^[0-9]+[.]([0-9]+)', 1) as bigint), 0) b, coalesce(try_cast(regexp_extract(v, '^[0-9]+[.][0-9]+[.]([0-9]+)', 1) as bigint), 0) c
       from (select distinct concat(cast(event_id % 12 as {str}), case when event_id % 2 = 0 then concat('.', cast(event_id % 7 as {str})) else '' end, case when event_id % 4 = 0 then concat('.', cast(event_id % 30 as {str})) else '' end) v from @events union all select 'junk') x) y""",
 )
 
 # Graph, merges, entities --------------------------------------------------------------------------------------------------------
 _add(
-    g11_section_links="""
-      select page_id, speaker, count(*) members, bool_and(reads_on) linked from (select page_id, speaker, ord, coalesce(lead(ord) over (partition by page_id, speaker order by ord) - ord <= 2, true) reads_on from lines) l group by page_id, speaker having count(*) >= 2""",
-    g12_linked_tails="""
-      select page_id, ord, case when n >= 2 and speaker <> 'system' then case when ord % 2 = 0 then concat(regexp_replace(speaker, '[.]+$', ''), '...') else regexp_replace(speaker, '[.]+$', '') end else speaker end tail from (select *, count(*) over (partition by page_id, speaker) n from lines) l""",
-    m1_glossary_merge="""
-      select coalesce(o.term, n.term) term, case when o.note <> '' then o.note else coalesce(n.note, o.note) end note, case when n.term is not null and o.note <> '' then 'kept' when n.note = '' then 'refused' else 'set' end outcome
-      from (select lower(tok) term, case when min(doc_id) % 2 = 0 then min(tok) else '' end note from tokens where length(tok) >= 8 group by lower(tok)) o
-      full outer join (select lower(tok) term, case when max(doc_id) % 3 = 0 then '' else max(tok) end note from tokens where length(tok) >= 9 group by lower(tok)) n on o.term = n.term""",
-    m3_canonical_names="select distinct low, regexp_replace(regexp_replace(replace(replace(regexp_replace(low, '(san|kun|chan)$', ''), 'l', 'r'), 'v', 'b'), '(ou|oo|oh)', 'o'{g}), '(aa|uu|ee|ii|nn|tt|ss)', ''{g}) canon from (select lower(tok) low from tokens) t",
-    m4_canonical_table="select canon, max_by(word, p * 1000 - length(word)) word from (select {substr}(lower(tok), 1, 4) canon, lower(tok) word, 0 p from tokens where length(tok) = 7 union all select {substr}(lower(tok), 1, 4), lower(tok), 1 from tokens where length(tok) = 5) t group by canon having count(distinct case when length(word) = 5 then word end) = 1",
-    m5_enforced_spellings="""
-      select t.doc_id, t.tok, case when t.tok = upper(t.tok) then upper(c.word) else concat(upper({substr}(c.word, 1, 1)), {substr}(c.word, 2)) end fixed from tokens t
-      join (select replace(lower(tok), 'th', 't') canon, min(lower(tok)) word from tokens where length(tok) >= 6 group by 1 having count(distinct lower(tok)) > 1) c on replace(lower(t.tok), 'th', 't') = c.canon
-      where length(t.tok) >= 6 and {like}({substr}(t.tok, 1, 1), '[A-Z]') and lower(t.tok) <> c.word""",
-    m6_settings_migration="select event_id, coalesce(new_v, case old_v when 'click' then 'fast' when 'view' then 'slow' else 'auto' end) engine from (select event_id, event_type old_v, case when event_id % 4 = 0 then 'explicit' end new_v from @events) e",
     m8_grant_once="""
       select uid, mail, seq from (select uid, mail, seq, row_number() over (partition by mail order by seq) m, row_number() over (partition by uid order by seq) u from (select user_id uid, user_id % 50 mail, event_id seq from @events where event_type = 'signup') s) r where m = 1 and u = 1""",
     m9_first_claim="select key_, min_by(uid, seq) uid from (select replace(replace(concat('n', cast(event_id % 97 as {str})), '0', 'o'), '1', 'l') key_, user_id uid, event_id seq from @events where event_type = 'signup') c group by key_",
     m10_hold_and_settle="select step, model, seq, cast(least(metered, ceil(1.25 * predicted)) as bigint) kept, cast(ceil(1.25 * predicted) as bigint) - cast(least(metered, ceil(1.25 * predicted)) as bigint) returned from meter",
-    m11_expire_and_take="select uid, max(seq) live from (select uid, seq, kind, max(seq) over (partition by uid) newest from ledger) l where newest - seq <= 600 and kind = 'credit' group by uid",
     m12_pack_price="select uid, seq, case when coins >= 150 then 'large' when coins >= 50 then 'middle' else 'small' end pack from ledger where kind = 'credit'",
     m13_split_page="""
       select b.page_id, b.box_id, c.part, greatest(0, b.y - c.y0) y, least(b.y + b.h, c.y1) - greatest(b.y, c.y0) h from boxes b join (select {each}({range}(0, 2)) part) z on true
@@ -281,43 +202,19 @@ _add(
 
 # Scalar functions --------------------------------------------------------------------------------------------------------------------
 _add(
-    f1_mark_cleanup="select page_id, ord, coalesce(nullif(trim(regexp_replace(regexp_replace(text, ' ?(—|--+) ?', ', '{g}), '[.]{4,}', '...'{g})), ''), text) text from (select page_id, ord, concat(speaker, ' -- and ....... ', speaker) text from lines) l",
-    f2_normalised="select doc_id, cast(length(regexp_replace(translate(text, '“”‘’–', '\"\"''''-'), '[ ]{2,}', ' '{g})) as bigint) n from @documents",
-    f4_escapes="select page_id, ord, replace(concat(speaker, '|n', speaker), '|n', ' ') text from lines",
     f12_geometry="select page_id, a_id, b_id, round(cast(inter as {dbl}) / (a_area + b_area - inter), 6) iou, round(cast(inter as {dbl}) / a_area, 6) share, least(ax, bx) ux, least(ay, by_) uy, greatest(ax + aw, bx + bw) - least(ax, bx) uw from pairs where a_id < b_id",
-    f13_colours="select event_id, greatest(abs(r - 128), abs(g - 64), abs(b - 32)) distance from (select event_id, event_id % 256 r, (event_id * 7) % 256 g, (event_id * 13) % 256 b from @events) e",
-    f14_style_precedence="select box_id, coalesce(hand, measured, 'auto') style from (select box_id, case when box_id % 5 = 0 then 'hand' end hand, case when box_id % 3 = 0 then 'measured' end measured from boxes) b",
-    f15_fingerprints="select page_id, md5({agg(case when score % 9 = 0 then 'locked' else concat(cast(x as {str}), ',', cast(y as {str}), ',', cast(w as {str}), ',', cast(h as {str})) end; ;box_id)}) fingerprint from boxes group by page_id".replace("; ;box_id", "; |; box_id"),
-    f16_formatting="select page_id, concat(cast(count(*) as {str}), case when count(*) = 1 then ' box' else ' boxes' end) said from boxes group by page_id",
     f17_fixed_prefix="select event_id, {substr}(props, 1, greatest(0, {strpos}(props, ':') - 1)) fixed from @events",
     f18_payload="select page_id, concat('{\"page\":', cast(page_id as {str}), ',\"regions\":[', {agg(cast(ord as {str}); ,; ord)}, ']}') payload from lines group by page_id",
-    f19_error_classes="select event_id, case when event_id % 600 = 429 then 'wait' when event_id % 600 in (401, 403) then 'key' when event_id % 600 >= 500 then 'server' when event_id % 600 >= 400 then 'request' else 'fine' end class from @events",
-    f20_masked_secrets="select event_id, case when props is null or props = '' then 'missing' else 'set' end state from @events",
-    f21_language_lookup="select doc_id, coalesce(case when doc_id % 9 = 0 then 'ja' end, lang, 'und') language from @documents",
-    f22_ages="select event_id, {epoch(ts)} - min({epoch(ts)}) over () age from @events",
+    f22_ages="select event_id, {epoch(ts)} - first age from @events cross join (select min({epoch(ts)}) first from @events) f",
 )
 
 # Stateful and streaming shapes, in batch form ------------------------------------------------------------------------------------------
 _add(
-    t1_carried_context="select page_id, ord, count(*) over (partition by speaker order by page_id, ord rows between unbounded preceding and 1 preceding) seen_before from lines",
-    t3_apply_once="select uid, kind, coins, min(seq) seq from ledger group by uid, kind, coins",
-    t8_changed_pages="select a.page_id from (select page_id, sum(score) f from boxes group by page_id) a left join (select page_id, sum(case when page_id % 10 = 0 then score + 1 else score end) f from boxes group by page_id) b on a.page_id = b.page_id and a.f = b.f where b.page_id is null",
     t11_tumbling_counts="select event_type, {epoch(ts)} {div} 86400 day_, count(*) n, round(sum(value), 4) total from @events group by 1, 2",
 )
 _add(
-    x3_first_route="select page_id, coalesce(max(case when score > 990 then 'a' end), max(case when score > 700 then 'b' end), 'c') route from boxes group by page_id",
-    x5_user_kinds="select b.box_id, coalesce(u.family, f.family, 'speech') family from boxes b left join families f on f.kind = b.kind left join (select 'sfx' kind, 'custom' family) u on u.kind = b.kind and b.page_id % 2 = 0",
 )
 _add(
-    p9_sound_or_speech="""
-      select page_id, ord, case when not {like}(t, '[A-Za-z]') then 'sound' when {like}(t, '(^| )(the|of|and|de|la|der|die)( |$)') then 'speech' when length(regexp_replace(t, '[^A-Za-z]', ''{g})) > 12 then 'speech' when ord % 5 = 0 then 'speech' else 'sound' end kind
-      from (select page_id, ord, case ord % 4 when 0 then '!?' when 1 then regexp_extract(text, '^([^ ]+)', 1) when 2 then regexp_extract(text, '^([^ ]+ [^ ]+)', 1) else text end t from said) l""",
-    a5_lost_honorifics="""
-      select page_id, count(*) lines_, cast(sum(case when {like}(src, '[a-z]tion') and not {like}(dst, '[a-z]tion') then 1 else 0 end) as bigint) lost, cast(sum(case when {like}(dst, '[a-z]tion') then 1 else 0 end) as bigint) kept
-      from (select page_id, text src, case when ord % 2 = 0 then regexp_replace(text, 'tion', ''{g}) else text end dst from said) l group by page_id""",
-    f11_font_cascade="""
-      select box_id, coalesce(hand, sub, family_font, project, 'plain') font from (select b.box_id, case when b.box_id % 13 = 0 then 'hand' end hand, case when b.score % 5 = 0 then 'sub' end sub, case f.family when 'sound' then 'brush' end family_font, case when b.page_id % 2 = 0 then 'house' end project
-        from boxes b join families f on f.kind = b.kind) x""",
     g13_run_angle="""
       select page_id, count(*) marks, round(degrees(0.5 * atan2(2 * covar_pop(cx, cy), var_pop(cx) - var_pop(cy))), 4) angle from (select page_id, x + w / 2.0 cx, y + h / 2.0 cy from boxes where kind = 'sfx') b group by page_id having count(*) >= 3""".replace("/ 2.0", "* cast(0.5 as {dbl})"),
 )

@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE_SCHEMA = "page_id long, regions array<struct<ord:long,speaker:string,text:string>>"
-SECRET = re.compile(r"(key|token|secret|password)$", re.I)
-#: Words by which a report says that a secret is set; as an input they mean nothing (fixed values).
-REPORT_WORDS = ("set", "env")
 
 
 def images(spark: SparkSession, path: str, glob: str = "*.{png,jpg,jpeg,webp}") -> DataFrame:
@@ -56,14 +53,6 @@ def safe_path(path: str) -> str:
     return "/".join(s for s in path.split("/") if s not in ("", ".", "..") and ":" not in s)
 
 
-def without_secrets(settings: dict) -> dict:
-    return {k: "" if SECRET.search(k) else v for k, v in settings.items()}
-
-
-def without_report_words(settings: dict) -> dict:
-    return {k: v for k, v in settings.items() if not (SECRET.search(k) and v in REPORT_WORDS)}
-
-
 def with_fonts(document, change):
     """The document with change() applied to every value named font or *_font, at any depth."""
     if isinstance(document, dict):
@@ -73,78 +62,41 @@ def with_fonts(document, change):
     return document
 
 
+def with_fonts_in(document: str, change) -> str:
+    """with_fonts() on a document as JSON text; its keys come in order."""
+    return json.dumps(with_fonts(json.loads(document), change), sort_keys=True, separators=(",", ":"))
+
+
 def template(lines: list[tuple[str, int, str, str]]) -> str:
     """Blocks to fill in: page, rank, source and what is known of the target."""
     return "\n".join(f"[{page} #{n}]  {source}\n{target}\n" for page, n, source, target in lines)
 
 
-LABEL = re.compile(r"^\s*\[(?P<page>.+?)\s*#\s*(?P<n>\d+)\]")
+LABEL = re.compile(r"^[ \t]*\[(?P<page>.+?)\s*#\s*(?P<n>\d+)\]", re.M)
 
 
 def filled_in(text: str) -> list[tuple[str, int, str]]:
-    """(page, rank, text) of a filled-in template or of its JSON forms. Lines that begin with # are notes; blank blocks are untouched."""
-    stripped = text.strip()
-    if stripped[:1] in "[{" and not LABEL.match(stripped):
+    """(page, rank, translation) of a filled-in template, as text or as JSON; what was left blank says nothing."""
+    if text.lstrip()[:1] in ("{", "["):
         try:
-            return _filled_json(json.loads(stripped))
+            return [(p, n, t) for p, n, t in _entries(json.loads(text)) if t]
         except ValueError:
-            pass
-    out, page, n, body = [], None, 0, []
-
-    def close() -> None:
-        words = "\n".join(body).strip()
-        if page is not None and words:
-            out.append((page, n, words))
-
-    for line in text.splitlines():
-        m = LABEL.match(line)
-        if m:
-            close()
-            page, n, body = m["page"], int(m["n"]), []
-        elif not line.lstrip().startswith("#"):
-            body.append(line)
-    close()
-    return out
-
-
-def _filled_json(doc) -> list[tuple[str, int, str]]:
-    out = []
-    for page in doc.get("pages", []) if isinstance(doc, dict) else doc:
-        name = page.get("name") or page.get("page") or ""
-        for i, r in enumerate(page.get("regions") or page.get("lines") or [], 1):
-            words = (r.get("english") or r.get("translation") or r.get("text") or "").strip()
-            if words:
-                out.append((name, int(r.get("n") or r.get("order") or i), words))
-    return out
-
-
-def parse_env(text: str) -> dict[str, str]:
-    """NAME=value lines, with export, quotes and comments; an empty value is no answer."""
-    out = {}
-    for line in text.lstrip("﻿").splitlines():
-        m = re.match(r"\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$", line)
-        if not m:
-            continue
-        value = m[2]
-        q = re.match(r"(['\"])(.*?)\1", value)
-        value = q[2] if q else re.sub(r"\s+#.*$", "", value)
-        if value:
-            out[m[1]] = value
-    return out
-
-
-def first_answer(sources: list[dict[str, str]], environment: dict[str, str], prefix: str) -> dict[str, str]:
-    """The first source that answers wins; of the environment only names with our prefix count, and last."""
-    out: dict[str, str] = {}
-    for s in [*sources, {k: v for k, v in environment.items() if k.startswith(prefix)}]:
-        for k, v in s.items():
-            if v and k not in out:
-                out[k] = v
-    return out
-
-
-def edited_env(text: str, name: str, value: str) -> str:
-    """The file with one name set, or removed for an empty value; other lines stay."""
-    own = re.compile(rf"\s*(?:export\s+)?{re.escape(name)}\s*=")
-    lines = [x for x in text.splitlines() if not own.match(x)]
-    return "\n".join([*lines, *([f"{name}={value}"] if value else [])]) + "\n"
+            pass  # a text whose first line is a label
+    labels = [(m.start(), m.end(), m["page"].strip(), int(m["n"])) for m in LABEL.finditer(text)]
+    ends = [at for at, *_ in labels[1:]] + [len(text)]
+    blocks = ((page, n, text[end:stop].partition("\n")[2]) for (_, end, page, n), stop in zip(labels, ends))
+    plain = ((page, n, "\n".join(x.rstrip() for x in block.splitlines() if not x.lstrip().startswith("#")).strip()) for page, n, block in blocks)
+    return [x for x in plain if x[2]]
+
+
+def _entries(doc):
+    """The entries of the JSON forms: pages with boxes, or a mapping from labels."""
+    if isinstance(doc, dict) and isinstance(doc.get("pages"), list):
+        for page in (p for p in doc["pages"] if isinstance(p, dict)):
+            for box in (b for b in page.get("boxes") or [] if isinstance(b, dict)):
+                if str(box.get("n")).lstrip("-").isdigit():
+                    yield str(page.get("page") or page.get("name") or ""), int(box["n"]), str(box.get("english") or box.get("dst") or "").strip()
+    elif isinstance(doc, dict):
+        for label, words in doc.items():
+            if m := LABEL.match(label if label.startswith("[") else f"[{label}]"):
+                yield m["page"].strip(), int(m["n"]), str(words).strip()

@@ -32,11 +32,17 @@ def applied_once(stream: DataFrame, keys: list[str], late: str = "1 day") -> Dat
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def collected(stream: DataFrame, spark: SparkSession, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over what is there and returns its result as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def collected(stream: DataFrame, spark: SparkSession, path: str, mode: str = "append") -> DataFrame:
+    """Runs the stream over what is there, writes its result under path, batch by batch, and returns that table. In complete mode the last batch
+    is the whole result; a batch that runs again replaces itself."""
+    schema = stream.schema
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    query = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 __all__ = ["applied_once", "balances", "collected", "events", "sessions", "settled_stream", "tumbling", "view"]

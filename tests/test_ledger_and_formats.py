@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import evaluate
+from quire.operators import evaluate, settings
 from quire.operators.ledger import Account, balances, settled
 from quire.sources import formats as f
 
@@ -11,11 +11,33 @@ from quire.sources import formats as f
 def test_account_rules():
     a = Account(10)
     assert a.apply("spend", "r1", 11) == (0, "refused")
+    assert a.apply("spend", "r1", 0) == (0, "no amount") and a.apply("spend", "r1", -1) == (0, "no amount") and a.apply("spend", "r1", 1.5) == (0, "no amount")
     assert a.apply("spend", "r1", 6) == (-6, "applied") and a.apply("spend", "r1", 6) == (0, "repeated")
-    assert a.apply("refund", "r1", 9) == (6, "applied") and a.apply("refund", "r1", 1) == (0, "nothing left")
+    assert a.apply("refund", "r1", 9) == (0, "more than it took") and a.apply("refund", "r1", 4) == (4, "applied") and a.apply("refund", "r1", 3) == (0, "more than it took")
+    assert a.apply("refund", "r1", 2) == (2, "applied") and a.apply("refund", "r9", 1) == (0, "no such run")
     assert a.apply("credit", "e1", 5) == (5, "applied") and a.apply("credit", "e1", 5) == (0, "repeated")
     assert a.apply("clawback", "e2", 99) == (-99, "applied") and a.balance == -84
-    assert a.apply("spend", "r2", 1.5) == (0, "not whole") and a.apply("spend", "r3", -1) == (0, "not whole")
+    assert a.apply("spend", "r2", 1) == (0, "refused")
+
+
+def plain_ledger(rows):
+    """The rules on one account's rows in turn, each looked up in what was applied before it."""
+    done = []
+    for kind, run, coins in rows:
+        balance = sum(x[3] for x in done)
+        same = [x for x in done if x[1] == run and x[3]]
+        took, back = -sum(x[3] for x in same if x[0] == "spend"), sum(x[3] for x in same if x[0] == "refund")
+        if coins <= 0:
+            change, why = 0, "no amount"
+        elif kind == "spend":
+            change, why = (0, "repeated") if took else (0, "refused") if coins > balance else (-coins, "applied")
+        elif kind == "refund":
+            change, why = (0, "no such run") if not took else (0, "more than it took") if back + coins > took else (coins, "applied")
+        else:
+            once = any(x[0] in ("credit", "clawback") and x[4] == "applied" for x in done if x[1] == run)
+            change, why = (0, "repeated") if once else (coins if kind == "credit" else -coins, "applied")
+        done.append((kind, run, coins, change, why))
+        yield change, balance + change, why
 
 
 def test_settled_is_the_fold(spark):
@@ -23,10 +45,9 @@ def test_settled_is_the_fold(spark):
     rows = [(u, s, rng.choice(["spend", "credit", "refund", "clawback"]), f"r{rng.randrange(9)}", rng.randrange(20)) for u in range(5) for s in range(60)]
     got = {(r["uid"], r["seq"]): (r["applied"], r["balance"], r["outcome"]) for r in settled(spark.createDataFrame(rows, "uid long, seq long, kind string, run string, coins long")).collect()}
     for u in range(5):
-        a = Account()
-        for _, s, kind, run, coins in sorted(r for r in rows if r[0] == u):
-            applied, outcome = a.apply(kind, run, coins)
-            assert got[u, s] == (applied, a.balance, outcome)
+        own = sorted(r for r in rows if r[0] == u)
+        for (_, s, *_), want in zip(own, plain_ledger([r[2:] for r in own])):
+            assert got[u, s] == want
 
 
 def test_balances_ignore_other_kinds(spark):
@@ -37,19 +58,25 @@ def test_balances_ignore_other_kinds(spark):
 def test_template_round_trip():
     text = f.template([("p1", 1, "src", ""), ("p1", 2, "src", "two\nlines"), ("p2", 1, "src", "x")])
     assert f.filled_in("# a note\n" + text) == [("p1", 2, "two\nlines"), ("p2", 1, "x")]
-    assert f.filled_in('{"pages": [{"name": "p", "regions": [{"english": "a"}, {"english": " "}, {"translation": "b", "n": 7}]}]}') == [("p", 1, "a"), ("p", 7, "b")]
+    assert f.filled_in('{"pages": [{"page": "p", "boxes": [{"n": 1, "english": "a"}, {"n": 2, "english": " "}, {"n": "x", "english": "b"}, {"n": 7, "dst": "c"}]}]}') == [("p", 1, "a"), ("p", 7, "c")]
+    assert f.filled_in('{"p1.png #2": "HELLO", "[p2 #3]": " ", "other": "x"}') == [("p1.png", 2, "HELLO")]
+    assert f.filled_in("[p1 #1]  src\nwords\n\n  # a note\nmore\n[p1 #2]\n\n") == [("p1", 1, "words\n\nmore")]
 
 
-def test_env_files():
-    text = "﻿export A='x y'\nB=1 # one\nC=\n# D=2\nE=\"q\"\n"
-    assert f.parse_env(text) == {"A": "x y", "B": "1", "E": "q"}
-    assert f.first_answer([{"A": ""}, {"A": "1"}, {"A": "2"}], {"A": "3", "Q_Z": "z", "OTHER": "o"}, "Q_") == {"A": "1", "Q_Z": "z"}
-    assert f.parse_env(f.edited_env(text, "B", "")) == {"A": "x y", "E": "q"} and f.parse_env(f.edited_env(text, "B", "5"))["B"] == "5"
+def test_env_files(spark):
+    text = "\ufeffexport A='x y'\r\nB=1 # one\nC=\n# D=2\nE=\"q\"\nb=2\nnothing\n"
+    files = spark.createDataFrame([(1, 1, text), (1, 2, "C=c\nA=other")], "owner long, rank int, text string")
+    environment = spark.createDataFrame([(1, "Q_Z", "z"), (1, "OTHER", "o"), (1, "Q_A", " ")], "owner long, name string, value string")
+    got = {r["name"]: r["value"] for r in settings.answers(settings.env_entries(files), environment, "Q_").collect()}
+    assert got == {"A": "x y", "B": "2", "C": "c", "E": "q", "Q_Z": "z"}
+    one = files.where("rank = 2").select(settings.edited_env(F.col("text"), "A", "").alias("out"), settings.edited_env(F.col("text"), "A", "5").alias("set")).first()
+    assert tuple(one) == ("C=c\n", "C=c\nA=5\n")
 
 
-def test_secrets_paths_fonts():
-    assert f.without_secrets({"api_key": "s", "step": "x"}) == {"api_key": "", "step": "x"}
-    assert f.without_report_words({"api_key": "set", "token": "real", "mode": "set"}) == {"token": "real", "mode": "set"}
+def test_settings(spark):
+    rows = spark.createDataFrame([({"api_key": "set", "token": "real", "mode": "set", "old": "click"},)], "m map<string,string>")
+    out = rows.select(settings.without_secrets(F.col("m")).alias("a"), settings.without_reports(F.col("m")).alias("b"), settings.migrated(F.col("m"), [("old", "new", {"click": "fast"})]).alias("c")).first()
+    assert out["a"] == {"api_key": "", "token": "", "mode": "set", "old": "click"} and out["b"] == {"token": "real", "mode": "set", "old": "click"} and out["c"]["new"] == "fast" and "old" not in out["c"]
     assert f.safe_path("../a/./b:c/d//e") == "a/d/e"
     assert f.with_fonts({"font": "a", "x": [{"big_font": "b", "y": "c"}]}, str.upper) == {"font": "A", "x": [{"big_font": "B", "y": "c"}]}
 
@@ -74,7 +101,10 @@ def test_chrf_and_persons(spark):
     assert evaluate.chrf(same).first()["chrf"] == 100.0
     other = spark.createDataFrame([("zzzz", "the cat")], "hypothesis string, reference string")
     assert evaluate.chrf(other).first()["chrf"] == 0.0
-    assert evaluate.persons("I think you're right") == {1, 2} and evaluate.persons(None) == set()
+    short = spark.createDataFrame([("ab", "abcdefgh")], "hypothesis string, reference string")
+    assert evaluate.chrf(short).first()["precision_"] == 1.0  # of the orders that the short side has
+    lines = spark.createDataFrame([("行こう", "We go to her", "I go to her"), ("私は", "I", "you"), (None, "You and me", "my, you"), ("", "no one", "he")], "source string, reference string, candidate string")
+    assert tuple(evaluate.who_differs(lines).first()) == (3, 2, 1)
 
 
 def test_streams_agree_with_tables(spark):
@@ -89,6 +119,6 @@ def test_streams_agree_with_tables(spark):
 
 @pytest.mark.parametrize("name", ["g1_suppression", "w14_reading_order", "a10_chrf", "g6_merged_boxes"])
 def test_grouped_queries_run(spark, name):
-    from quire.plans.grouped_queries import QUERIES
+    from quire.plans import registry
 
-    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
