@@ -106,7 +106,7 @@ _add(
       select m.model, r.prefix, r.tin, r.tout from (select distinct model from meter union all select 'x9') m left join (
         select model, prefix, tin, tout, row_number() over (partition by model order by length(prefix) desc) k from (select distinct model from meter) d join rates on d.model like concat(prefix, '%')) r on r.model = m.model and k = 1""",
     j20_near_terms="""
-      with w as (select distinct lower(tok) c from tokens),
+      with w as (select distinct lower(tok) c from tokens where {like}(tok, '^[A-Za-z]+$')),
       v as (select c, case when i = 0 then c else concat({substr}(c, 1, cast(i as int) - 1), {substr}(c, cast(i as int) + 1)) end k from (select c, {each}({range}(0, cast(length(c) as int))) i from w) x)
       select distinct a.c word, b.c near from v a join v b on a.k = b.k and a.c <> b.c where greatest(length(a.c), length(b.c)) >= 4 and levenshtein(a.c, b.c) = 1""",
     j22_two_runs="""
