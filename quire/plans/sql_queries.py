@@ -197,7 +197,7 @@ _add(
       join (select 0 part, 0 y0, 150 y1 union all select 1, 150, 300 union all select 2, 300, 480) c on c.part = z.part where b.y + b.h / 2.0 >= c.y0 and b.y + b.h / 2.0 < c.y1 and least(b.y + b.h, c.y1) - greatest(b.y, c.y0) >= 2""",
     m14_restitch="""
       select t.strip_id, t.row_no, c.cut, cast(least(t.y1, c.y1) - greatest(t.y0, c.y0) as bigint) rows_ from (select strip_id, row_no, sum(h) over (partition by strip_id order by row_no) - h y0, sum(h) over (partition by strip_id order by row_no) y1 from (select strip_id, row_no, 100 + row_no % 50 h from flags) f) t
-      join (select {each}({range}(0, 9)) cut) z on true join lateral (select z.cut cut, z.cut * 400 y0, z.cut * 400 + 400 y1) c on true where least(t.y1, c.y1) > greatest(t.y0, c.y0)""".replace(" join lateral (select z.cut cut, z.cut * 400 y0, z.cut * 400 + 400 y1) c on true", "").replace("(select {each}({range}(0, 9)) cut) z on true", "(select cast(cut as bigint) cut, cut * 400 y0, cut * 400 + 400 y1 from (select {each}({range}(0, 9)) cut) s) c on true"),
+      join (select cast(cut as bigint) cut, cut * 400 y0, cut * 400 + 400 y1 from (select {each}({range}(0, 9)) cut) s) c on true where least(t.y1, c.y1) > greatest(t.y0, c.y0)""",
 )
 
 # Scalar functions --------------------------------------------------------------------------------------------------------------------
@@ -216,5 +216,5 @@ _add(
 )
 _add(
     g13_run_angle="""
-      select page_id, count(*) marks, round(degrees(0.5 * atan2(2 * covar_pop(cx, cy), var_pop(cx) - var_pop(cy))), 4) angle from (select page_id, x + w / 2.0 cx, y + h / 2.0 cy from boxes where kind = 'sfx') b group by page_id having count(*) >= 3""".replace("/ 2.0", "* cast(0.5 as {dbl})"),
+      select page_id, count(*) marks, round(degrees(0.5 * atan2(2 * covar_pop(cx, cy), var_pop(cx) - var_pop(cy))), 4) angle from (select page_id, x + w * cast(0.5 as {dbl}) cx, y + h * cast(0.5 as {dbl}) cy from boxes where kind = 'sfx') b group by page_id having count(*) >= 3""",
 )
