@@ -92,3 +92,20 @@ def grid(boxes: DataFrame, cell: int = 160, cells: int = 3) -> DataFrame:
     ends = {"x1": F.max(F.col("x") + F.col("w")), "y1": F.max(F.col("y") + F.col("h"))}
     out = boxes.groupBy("page_id", at("x", "w").alias("col"), at("y", "h").alias("row_"))
     return out.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), *[v.alias(k) for k, v in ends.items()])
+
+
+def run_angles(boxes: DataFrame, least: int = 3) -> DataFrame:
+    """G13. Pages with `least` boxes or more: how many, and in which direction their centres spread most, in degrees above -90 to 90; 0 if none stands out.
+
+    Boxes have whole numbers. Twice the centres are summed, so the moments are exact whatever the order of the boxes; as doubles, a covariance
+    of 0 got the sign of what rounding left and turned 90 into -90. A page's sums fit a long up to 10^8 boxes on 100,000 pixels; beyond, ANSI
+    mode raises an error. Boxes without a place are counted, but have no direction.
+    """
+    x, y = (2 * F.col(at).cast("long") + F.col(size) for at, size in ("xw", "yh"))
+    placed = boxes.select("page_id", F.when(y.isNotNull(), x).alias("x"), F.when(x.isNotNull(), y).alias("y"))
+    whole = lambda c: c.cast("decimal(20,0)")
+    sums = {"n": F.count("x"), "x": F.sum("x"), "y": F.sum("y")} | {a + b: F.sum(F.col(a) * F.col(b)) for a, b in ("xx", "xy", "yy")}
+    moments = placed.groupBy("page_id").agg(F.count("*").alias("marks"), *[whole(v).alias(k) for k, v in sums.items()])
+    spread = lambda a, b: F.col("n") * F.col(a + b) - F.col(a) * F.col(b)
+    turn = F.atan2((2 * spread("x", "y")).cast("double"), (spread("x", "x") - spread("y", "y")).cast("double"))
+    return moments.where(F.col("marks") >= least).select("page_id", "marks", F.round(F.degrees(0.5 * turn), 4).alias("angle"))

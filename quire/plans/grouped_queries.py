@@ -373,6 +373,7 @@ QUERIES |= {
     "j24_boxes_under": lambda s, d: spatial.boxes_under(_boxes(s, d), 60, 90, 180, 200).select("page_id", "box_id"),
     "j27_grid_buckets": lambda s, d: spatial.grid(_boxes(s, d)),
     "j28_neighbours_in_crop": lambda s, d: spatial.neighbours(_boxes(s, d)),
+    "g13_run_angle": lambda s, d: spatial.run_angles(_boxes(s, d).where("kind = 'sfx'")),
     "w1_reading_rank": lambda s, d: sequence.reading_rank(view(s, d, "lines")),
     "w3_gutters": lambda s, d: sequence.islands(view(s, d, "flags")),
     "w4_interval_gaps": lambda s, d: sequence.interval_gaps(_boxes(s, d)),
